@@ -19,9 +19,11 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +32,9 @@ from ._common import ship
 
 SPACE = "▁"
 REPLACEMENT = "�".encode()
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 400_000
+#: Texts that are encoded together.
+ROWS_AT_ONCE = 128
 #: Stretches of more characters are not kept in the cache.
 CACHED_CHARS = 48
 
@@ -221,33 +225,40 @@ class Encoder:
         #: A single space at the end of a text: the processor would take it for an empty text.
         self.lone = [self.pieces.index(SPACE)] if SPACE in self.pieces else []
         self.cuts = self.cuts and bool(self.lone)
-        self.cache: dict[str, list[int]] = {" ": self.lone}
+        self.cache: dict[str, list[int]] = {"": self.lone}
 
     def encode_ids(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text.  Stretches are encoded once a call; the cache keeps the first ones
-        seen, which are the frequent ones, and stays as it is when it is full."""
+        """Ids of each text.
+
+        A stretch is named by its text without the leading space.  New ones are encoded together,
+        once a call; the cache keeps the first ones seen, which are the frequent ones, and stays
+        as it is when it is full.
+        """
         if not self.cuts:
             return self.processor.encode(texts, num_threads=1)
-        every = [re.findall(" +[^ ]*", " " + t) if t and SPACE not in t else [] for t in texts]
-        cache = self.cache
-        new = list(set().union(*every).difference(cache))
-        fresh = dict(zip(new, self.processor.encode([p[1:] for p in new], num_threads=1), strict=True)) if new else {}
-        cache.update([(p, fresh[p]) for p in new if len(p) <= CACHED_CHARS][: CACHE_ENTRIES - len(cache)])
-        out = []
-        for text, parts in zip(texts, every, strict=True):
+        every = []
+        for text in texts:
+            parts = text.split(" ")
             if SPACE in text:  # written out in the text it cuts as a space does
-                out.append([i for p in re.findall("[ ▁]+[^ ▁]*", " " + text) for i in self._one(p)])
-                continue
-            ids: list[int] = []
-            for p in parts:
-                ids += cache[p] if p in cache else fresh[p]
-            out.append(ids)
+                parts = [p[1:] for p in re.findall("[ ▁]+[^ ▁]*", " " + text)]
+            elif "" in parts:
+                parts = [p[1:] for p in re.findall(" +[^ ]*", " " + text)] if text else []
+            every.append(parts)
+        flat = list(chain.from_iterable(every))
+        found = list(map(self.cache.get, flat))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        if gaps:
+            new = list({flat[i] for i in gaps})
+            fresh = dict(zip(new, self.processor.encode(new, num_threads=1), strict=True))
+            for i in gaps:
+                found[i] = fresh[flat[i]]
+            self.cache.update([(p, fresh[p]) for p in new if len(p) <= CACHED_CHARS][: CACHE_ENTRIES - len(self.cache)])
+        out, at = [], 0
+        for parts in every:
+            out.append(list(chain.from_iterable(found[at : at + len(parts)])))
+            at += len(parts)
         return out
 
-    def _one(self, part: str) -> list[int]:
-        """A stretch by itself: its first space, written out or not, is the one that the prefix adds."""
-        return self.processor.encode(part[1:]) if len(part) > 1 else self.lone
-
     def spans(self, text: str, ids: list[int]) -> tuple[list[int], list[int]]:
         """Byte spans of the original text, one for each id, in order and without gaps inside."""
         raw = text.encode()
@@ -320,30 +331,34 @@ def encode(df: DataFrame, model_path: str, text: str = "text", outputs: tuple[st
     fields = [T.StructField(c, df.schema[c].dataType) for c in kept] + [T.StructField(o, _OUTPUTS[o]) for o in outputs]
     source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     inner = T.StructType([T.StructField(f"k{i}", f.dataType) for i, f in enumerate(fields[: len(kept)])] + [T.StructField(f"o_{o}", _OUTPUTS[o]) for o in outputs])
+    names = [f.name for f in inner.fields]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(model_path)
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                texts = part["t"].tolist()
+        for whole in batches:
+            for at in range(0, len(whole), ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                texts = batch.column(len(kept)).to_pylist()
                 ids = model.encode_ids(texts)
-                out = part.drop(columns="t")
-                if "ids" in outputs:
-                    out = out.assign(o_ids=pd.Series([np.asarray(x, np.int32) for x in ids], index=part.index, dtype=object))
+                made = {"ids": ids}
                 if "begin" in outputs or "end" in outputs:
                     both = [model.spans(t, x) for t, x in zip(texts, ids, strict=True)]
-                    for o, side in (("begin", 0), ("end", 1)):
-                        if o in outputs:
-                            out[f"o_{o}"] = pd.Series([np.asarray(x[side], np.int32) for x in both], index=part.index, dtype=object)
+                    made |= {"begin": [x[0] for x in both], "end": [x[1] for x in both]}
                 if "decoded" in outputs:
-                    out = out.assign(o_decoded=pd.Series(model.decode(ids), index=part.index, dtype=object))
-                yield out
+                    made["decoded"] = model.decode(ids)
+                columns = [pa.array(made[o], pa.string()) if o == "decoded" else _lists(made[o]) for o in outputs]
+                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + columns, names=names)
 
-    mapped = source.mapInPandas(run, inner)
+    mapped = source.mapInArrow(run, inner)
     return mapped.select(*[F.col(a.name).alias(b.name) for a, b in zip(inner.fields, fields, strict=True)])
 
 
+def _lists(values: list[list[int]]) -> pa.Array:
+    offsets = np.zeros(len(values) + 1, np.int32)
+    np.cumsum([len(v) for v in values], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(values), np.int32, int(offsets[-1]))))
+
+
 def decode(df: DataFrame, model_path: str, ids: str = "ids", output: str = "decoded") -> DataFrame:
     """Add the decoded text of a column of ids; null ids decode to the empty text."""
     ship(df.sparkSession)
