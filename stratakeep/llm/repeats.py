@@ -8,7 +8,10 @@ the anchor's block.
 * Blocks (one for some dozens of units) are grouped by anchor and content in one exchange.  Where a
   whole block repeats, all its windows are settled at once.
 * Only where one anchor stands in different blocks, which happens at the edges of repeated
-  passages, the single windows of one representative of each block are grouped in turn.
+  passages, one representative of each block goes on.  With ``piece`` it is cut in pieces of so many
+  windows, aligned to the anchor and grouped by their core, the bytes that all windows of the piece
+  share: where the core is unique nothing inside can repeat.  What is left is grouped window by
+  window.
 
 Before each exchange equal rows of an Arrow batch collapse to the first, so a passage that a third
 of all documents share sends one row a batch instead of one a document.  Reducers sort and stream:
@@ -44,6 +47,7 @@ class Windows:
     length: int
     gram: int
     first_stays: bool
+    piece: int = 0
 
     @property
     def reach(self) -> int:
@@ -59,21 +63,22 @@ class Windows:
 
 
 def blocks(spec: Windows, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each anchor of a slice: document index, first window, windows - 1, two fingerprints."""
+    """For each anchor of a slice: document index, first window, windows - 1, offset of the anchor
+    in the first window, two fingerprints."""
     first, second, start = spec.values(data, offsets)
     base, other = G.WORD_BASES
     grams = base.grams(base.prefix(first), spec.gram)
     at = G.valid_starts(start, spec.length)
     if not len(at):
         none = np.zeros(0, np.int64)
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
     place = least_places(grams, spec.reach)[at]
     new = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)))
     begin = at[new]
     more = np.diff(np.append(new, len(at))) - 1
     doc = np.searchsorted(start, begin, "right") - 1
     content = other.spans(other.prefix(second), begin, begin + more + spec.length)
-    return doc, begin - start[doc], more, grams[place[new]], content
+    return doc, begin - start[doc], more, place[new] - begin, grams[place[new]], content
 
 
 def least_places(grams: np.ndarray, reach: int) -> np.ndarray:
@@ -89,8 +94,13 @@ def least_places(grams: np.ndarray, reach: int) -> np.ndarray:
     return place
 
 
-def _pack(begin: np.ndarray, more: np.ndarray) -> np.ndarray:
-    return begin.astype(np.int64) * 256 + more
+def _pack(begin: np.ndarray, more: np.ndarray, anchor: np.ndarray | int = 0) -> np.ndarray:
+    """First window, windows - 1 and the anchor's offset in one number that sorts by the first."""
+    return begin.astype(np.int64) * 65536 + more * 256 + anchor
+
+
+def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return at >> 16, (at >> 8) & 255, at & 255
 
 
 def _collapse(h: np.ndarray, c: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -190,8 +200,8 @@ def _block_rows(docs: DataFrame, spec: Windows) -> DataFrame:
             data, offsets = G.utf8(batch.column(1))
             found = []
             for i, j in G.slices(offsets, SLICE):
-                doc, begin, more, h, c = blocks(spec, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                found.append((h, c, ids[i + doc], _pack(begin, more)))
+                doc, begin, more, anchor, h, c = blocks(spec, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                found.append((h, c, ids[i + doc], _pack(begin, more, anchor)))
             if found:
                 h, c, doc, at = (np.concatenate([f[k] for f in found]) for k in range(4))
                 yield _collapse(h, c, doc, at, np.ones(len(h), np.int64))
@@ -199,8 +209,8 @@ def _block_rows(docs: DataFrame, spec: Windows) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, _ROWS)
 
 
-def _window_rows(docs: DataFrame, checks: DataFrame, spec: Windows) -> DataFrame:
-    """The single windows of the blocks in ``checks``."""
+def _finer_rows(docs: DataFrame, checks: DataFrame, spec: Windows, piece: int) -> DataFrame:
+    """The blocks in ``checks`` cut in pieces, or in single windows where ``piece`` is 1."""
     listed = checks.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("blocks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,8 +218,8 @@ def _window_rows(docs: DataFrame, checks: DataFrame, spec: Windows) -> DataFrame
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = G.utf8(batch.column(1))
             lists = batch.column(2)
-            at_all = lists.flatten().field("at").to_numpy(zero_copy_only=False)
-            n_all = lists.flatten().field("n").to_numpy(zero_copy_only=False)
+            flat = lists.flatten()
+            at_all, n_all = (flat.field(name).to_numpy(zero_copy_only=False) for name in ("at", "n"))
             size = np.diff(lists.offsets.to_numpy())
             bound = np.concatenate(([0], np.cumsum(size)))
             found = []
@@ -217,20 +227,26 @@ def _window_rows(docs: DataFrame, checks: DataFrame, spec: Windows) -> DataFrame
                 first, second, start = spec.values(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 a, b = bound[i], bound[j]
                 doc = np.repeat(np.arange(j - i), size[i:j])
-                begin, more = at_all[a:b] // 256, at_all[a:b] % 256
-                good = begin + more + spec.length <= np.diff(start)[doc]
-                doc, begin, more, n = doc[good], begin[good], more[good], n_all[a:b][good]
-                each = more + 1
+                begin, more, anchor = _unpack(at_all[a:b])
+                last = np.diff(start) - spec.length  # last window of each document
+                good = begin + more <= last[doc]
+                doc, begin, more, anchor, n = doc[good], begin[good], more[good], anchor[good], n_all[a:b][good]
+                anchor = begin + anchor
+                # pieces are numbered from the anchor, so that copies are cut alike
+                low, high = (begin - anchor) // piece, (begin + more - anchor) // piece
+                each = high - low + 1
                 row = np.repeat(np.arange(len(doc)), each)
-                step = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
-                own = begin[row] + step
-                pos = start[doc[row]] + own
+                number = low[row] + np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+                ideal = anchor[row] + number * piece
+                own = np.maximum(ideal, 0)
+                extra = np.minimum(ideal + piece - 1, last[doc[row]]) - own
                 base, other = G.WORD_BASES
-                h = base.spans(base.prefix(first), pos, pos + spec.length)
-                c = other.spans(other.prefix(second), pos, pos + spec.length)
+                pos = start[doc[row]]
+                h = base.spans(base.prefix(first), pos + ideal + piece - 1, pos + ideal + spec.length)
+                c = other.spans(other.prefix(second), pos + own, pos + own + extra + spec.length)
                 # where all copies count, a block that repeats is settled: its windows tell (3) but aren't marked
                 told = np.where((n[row] > 1) & (not spec.first_stays), 3, 1)
-                found.append((h, c, ids[i + doc[row]], _pack(own, 0 * own), told))
+                found.append((h, c, ids[i + doc[row]], _pack(own, extra), told))
             if found:
                 yield _collapse(*(np.concatenate([f[k] for f in found]) for k in range(5)))
 
@@ -239,17 +255,24 @@ def _window_rows(docs: DataFrame, checks: DataFrame, spec: Windows) -> DataFrame
 
 
 def repeated_windows(docs: DataFrame, spec: Windows) -> DataFrame:
-    """Runs of repeated windows: rows (doc, at) where at = 256 * first window + windows - 1.
+    """Runs of repeated windows: rows (doc, at), ``at`` packing the first
+    window and how many follow it.
 
     ``docs`` has columns doc (long, not null) and text.  With ``first_stays`` a window counts if
     its content also starts earlier (smaller doc, or same doc and smaller start), else if it
     occurs anywhere else.
     """
     ship(docs.sparkSession)
-    settled = materialise(_grouped(_block_rows(docs, spec), spec, True), "blocks")
-    checks = settled.where(f"kind = {CHECK}").select("doc", "at", "n")
-    single = _grouped(_window_rows(docs, checks, spec), spec, False)
-    return settled.where(f"kind = {COVERED}").select("doc", "at").unionByName(single.where(f"kind = {COVERED}").select("doc", "at"))
+    stages = [_grouped(_block_rows(docs, spec), spec, True)]
+    for piece in (spec.piece, 1) if spec.piece else (1,):
+        stages[-1] = materialise(stages[-1], "windows")
+        checks = stages[-1].where(f"kind = {CHECK}").select("doc", "at", "n")
+        stages.append(_grouped(_finer_rows(docs, checks, spec, piece), spec, piece > 1))
+    parts = [s.where(f"kind = {COVERED}").select("doc", "at") for s in stages]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def per_document(docs: DataFrame, windows: DataFrame, spec: Windows) -> DataFrame:
@@ -268,8 +291,8 @@ def per_document(docs: DataFrame, windows: DataFrame, spec: Windows) -> DataFram
             starts, ends, counts = [], [], []
             for k in range(len(size)):
                 at = values[bound[k] : bound[k + 1]]
-                begin = at // 256
-                stop = np.maximum.accumulate(begin + at % 256 + spec.length)
+                begin, more, _ = _unpack(at)
+                stop = np.maximum.accumulate(begin + more + spec.length)
                 cut = np.flatnonzero(begin[1:] > stop[:-1])
                 starts.append(begin[np.append(0, cut + 1)])
                 ends.append(stop[np.append(cut, len(at) - 1)])
