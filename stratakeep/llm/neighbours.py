@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 
 from ._common import materialise, ship
 
-SAMPLE = 6000
-HELD_OUT = 600
+SAMPLE = 4000
+HELD_OUT = 500
 DEGREE = 10
 ROWS_PER_PARTITION = 2048
 MAX_PARTITIONS = 256
-HIDDEN = 128
-TARGET = 0.97
+HIDDEN = 64
+TARGET = 0.95
 BLOCK = 4096
 
 
@@ -52,7 +52,7 @@ def neighbour_graph(x: np.ndarray, degree: int) -> np.ndarray:
     return out
 
 
-def balanced_partition(graph: np.ndarray, parts: int, slack: float = 1.05, rounds: int = 12, seed: int = 0) -> np.ndarray:
+def balanced_partition(graph: np.ndarray, parts: int, slack: float = 1.05, rounds: int = 6, seed: int = 0) -> np.ndarray:
     """Cut a neighbour graph into ``parts`` of at most ceil(n / parts * slack) nodes each."""
     n = len(graph)
     capacity = int(np.ceil(n / parts * slack))
@@ -123,7 +123,7 @@ class Router:
     def scores(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(x * self.scale @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
-    def fit(self, x: np.ndarray, target: np.ndarray, epochs: int = 40, batch: int = 256, rate: float = 3e-3, decay: float = 1e-4, seed: int = 1) -> None:
+    def fit(self, x: np.ndarray, target: np.ndarray, epochs: int = 20, batch: int = 256, rate: float = 3e-3, decay: float = 1e-4, seed: int = 1) -> None:
         rng = np.random.default_rng(seed)
         params = [self.w1, self.b1, self.w2, self.b2]
         m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
