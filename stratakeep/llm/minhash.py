@@ -10,7 +10,10 @@ pair of Jaccard similarity 0.85 shares none of them with probability 6e-11.
    other pairs that still join two components are confirmed.
 3. What a star can't show: within buckets whose members still lie in several components, pairs
    across components with an estimate of 0.65 or more (six standard deviations below the
-   threshold) are confirmed.  Large buckets are cut in blocks and compared block by block.
+   threshold) are confirmed.  Shingles that no other such document has bound what a document can
+   share: one with more than the threshold allows is linked with nothing and leaves, which is
+   exact and ends families of copies that drifted too far.  Large buckets are cut in blocks and
+   compared block by block.
 
 Hot groups therefore cost one pair a member; no cap or sample is applied anywhere.
 """
@@ -191,25 +194,50 @@ def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).drop("a_root", "b_root")
 
 
-def _across(buckets: DataFrame, sigs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs within a bucket and across components whose estimate reaches the floor."""
+def _shared_shingles(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """For each document of ``members`` (rep, least, most: sizes of its sets): least, and how many
+    of its shingles another member has (never too few)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = G.utf8(batch.column(1))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, j in G.slices(offsets):
+                values, at = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                yield pa.RecordBatch.from_arrays([pa.array(G.signed(values)), pa.array(np.repeat(ids[i:j], np.diff(at)))], names=["shingle", "doc"])
+
+    texts = docs.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+    owners = texts.mapInArrow(run, "shingle long, doc long").groupBy("shingle").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    alone = owners.where("lo = hi").groupBy(F.col("lo").alias("rep")).agg(F.count("*").alias("alone"))
+    return members.join(alone, "rep", "left").select("rep", F.col("least").alias("size"), (F.col("most") - F.coalesce("alone", F.lit(0))).alias("common"))
+
+
+def _across(buckets: DataFrame, reps: DataFrame, docs: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs within a bucket and across components that can reach the threshold."""
     placed = materialise(
         buckets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("band", "bucket", "rep", F.coalesce("root", "rep").alias("root")), "placed"
     )
-    mixed = placed.groupBy("band", "bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo < hi")
-    mixed = materialise(mixed.select("band", "bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "mixed")
+    of_several = lambda rows: rows.groupBy("band", "bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo < hi")
+    several = materialise(of_several(placed).select("band", "bucket"), "several")
+    rows = materialise(placed.join(several, ["band", "bucket"]), "mixed-rows")
+    sizes = reps.groupBy("rep").agg(F.min("n_shingles").alias("least"), F.sum("n_shingles").alias("most"))
+    members = materialise(sizes.join(rows.select("rep").distinct(), "rep"), "members")
+    able = materialise(_shared_shingles(docs, members).where(F.col("common") * 100 >= F.col("size") * percent), "able")
+    rows = materialise(rows.join(able, "rep"), "able-rows")
+    mixed = materialise(of_several(rows).select("band", "bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "mixed")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int")
-    rows = placed.join(mixed, ["band", "bucket"]).join(sigs.select("rep", "sig"), "rep").withColumn("own", own)
+    rows = rows.join(mixed, ["band", "bucket"]).join(reps.select("rep", "sig"), "rep").withColumn("own", own)
     # a block meets itself and every other block once: rows go to (own, j) and (j, own)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "root", "sig")
+    rows = rows.select("band", "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "root", "size", "common", "sig")
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         found = []
         sig = np.frombuffer(b"".join(part["sig"]), np.uint16).reshape(len(part), -1)
-        rep, root, own = (part[c].to_numpy() for c in ("rep", "root", "own"))
+        rep, root, own, size, common = (part[c].to_numpy() for c in ("rep", "root", "own", "size", "common"))
         for i in range(len(part)):
-            other = np.flatnonzero((rep > rep[i]) & (root != root[i]) & ((own != own[i]) | (key[2] == key[3])))
+            both = np.minimum(common, common[i])
+            other = np.flatnonzero((rep > rep[i]) & (root != root[i]) & ((own != own[i]) | (key[2] == key[3])) & (100 * both >= percent * (size + size[i] - both)))
             if len(other):
                 close = other[(sig[other] == sig[i]).mean(axis=1) >= ESTIMATE_FLOOR]
                 found.append(np.column_stack((np.full(len(close), rep[i]), rep[close])))
@@ -237,7 +265,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = materialise(usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
     same = usable.select("set_a", "set_b", F.col("doc_id").alias("b")).join(classes.where("n > 1"), ["set_a", "set_b"]).select(F.col("rep").alias("a"), "b")
     # several texts under one id: each has a row of its own here
-    reps = materialise(usable.join(classes.select("set_a", "set_b", F.col("rep").alias("doc_id")), ["doc_id", "set_a", "set_b"]).select(F.col("doc_id").alias("rep"), "bands", "sig"), "reps")
+    reps = materialise(usable.join(classes.select("set_a", "set_b", F.col("rep").alias("doc_id")), ["doc_id", "set_a", "set_b"]).select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sig"), "reps")
     roots = merge(same)
 
     named = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
@@ -250,7 +278,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     roots = merge(_confirmed(materialise(best.select("a", "b"), "best"), docs, percent), roots)
     rest = materialise(_rooted(pairs.select("a", "b").join(best.select("a", "b"), ["a", "b"], "left_anti"), roots), "rest")
     roots = merge(_confirmed(rest, docs, percent), roots)
-    across = materialise(_rooted(_across(shared.select("band", "bucket", "rep"), sigs, roots), roots), "across")
+    across = materialise(_rooted(_across(shared.select("band", "bucket", "rep"), reps, docs, roots, percent), roots), "across")
     roots = merge(_confirmed(across, docs, percent), roots)
 
     out = sketches.select("doc_id", "n_shingles").join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
