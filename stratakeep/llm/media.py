@@ -4,8 +4,10 @@ A payload is stored once, as an 8-bit grey PNG image 576 samples wide whose file
 payload's digest.  Rows carry digest, shard, offset and length; width, height, depth and colour are
 filled by reading the first 33 bytes of each image in place.
 
-Within a task later copies of a payload are dropped before the exchange, so a payload that a third
-of all rows share crosses it once a task.  Shards are named at random and reported through a
+Payloads never cross an exchange: each task writes the shards of its own rows, one image for each
+distinct payload that it meets, and only addresses are grouped by digest.  Where several tasks met
+a payload, rows carry the least address, so equal payloads share one; a payload that a third of
+all rows share is stored at most once a task.  Shards are named at random and reported through a
 table that only finished tasks feed.
 
 Edge cases: a null text counts as empty, and an empty payload is one row of padding; equal texts
@@ -93,53 +95,43 @@ def _tar_header(name: str, size: int) -> bytes:
 
 
 def store(docs: DataFrame, folder: str, text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Store each distinct payload once; rows: digest, shard, offset, length, media_sha256."""
-    spark = docs.sparkSession
-    ship(spark)
+    """Store payloads; one row for each distinct one: digest, shard, offset, length, media_sha256."""
+    ship(docs.sparkSession)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = shared_fs(folder)
+        fs.create_dir(root, recursive=True)
         seen: set[bytes] = set()
+        name, out, size = "", None, 0
         for batch in batches:
+            rows = []
             for at in range(0, len(batch), 64):
-                digests, images = [], []
                 for data in batch.column(0).slice(at, 64).to_pylist():
                     payload = pad(data or b"")
                     digest = hashlib.sha256(payload)
-                    if digest.digest() not in seen:
-                        seen.add(digest.digest())
-                        digests.append(digest.hexdigest())
-                        images.append(to_png(payload))
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(images, pa.binary())], names=["digest", "image"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = shared_fs(folder)
-        fs.create_dir(root, recursive=True)
-        seen: set[str] = set()
-        name, out, size, rows = "", None, 0, []
-        for batch in batches:
-            for digest, image in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if digest in seen:
-                    continue
-                seen.add(digest)
-                if out is None:
-                    name, size = f"{uuid.uuid4().hex}.tar", 0
-                    out = fs.open_output_stream(f"{root}/{name}")
-                out.write(_tar_header(f"{digest}.png", len(image)) + image + b"\0" * (-len(image) % 512))
-                rows.append((digest, f"{folder}/{name}", size + 512, len(image), hashlib.sha256(image).hexdigest()))
-                size += 512 + len(image) + -len(image) % 512
-                if size >= shard_bytes:
-                    out.write(b"\0" * 1024)
-                    out.close()
-                    out = None
+                    if digest.digest() in seen:
+                        continue
+                    seen.add(digest.digest())
+                    image = to_png(payload)
+                    if out is None:
+                        name, size = f"{uuid.uuid4().hex}.tar", 0
+                        out = fs.open_output_stream(f"{root}/{name}")
+                    out.write(_tar_header(f"{digest.hexdigest()}.png", len(image)) + image + b"\0" * (-len(image) % 512))
+                    rows.append((digest.hexdigest(), f"{folder}/{name}", size + 512, len(image), hashlib.sha256(image).hexdigest()))
+                    size += 512 + len(image) + -len(image) % 512
+                    if size >= shard_bytes:
+                        out.write(b"\0" * 1024)
+                        out.close()
+                        out = None
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["digest", "shard", "offset", "length", "media_sha256"])
         if out is not None:
             out.write(b"\0" * 1024)
             out.close()
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["digest", "shard", "offset", "length", "media_sha256"])
 
-    images = docs.select(F.col(f"`{text}`").cast("binary").alias("data")).mapInArrow(encode, "digest string, image binary")
-    packed = images.repartition(width(spark), "digest").mapInArrow(pack, "digest string, shard string, offset long, length long, media_sha256 string")
-    return materialise(packed, "manifest")
+    written = docs.select(F.col(f"`{text}`").cast("binary").alias("data")).mapInArrow(run, "digest string, shard string, offset long, length long, media_sha256 string")
+    written = materialise(written, "addresses")  # all shards are closed before any address is used
+    return written.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length", "media_sha256")).alias("at")).select("digest", "at.*")
 
 
 def _ranges(stored: DataFrame) -> DataFrame:
