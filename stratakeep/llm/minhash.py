@@ -8,14 +8,13 @@ pair of Jaccard similarity 0.85 shares none of them with probability 6e-11.
 2. Each member of a bucket is paired with the bucket's smallest member; for every document the
    pair of highest estimate is confirmed on the full sets, components are formed, then all its
    other pairs that still join two components are confirmed.
-3. What a star can't show: within buckets whose members still lie in several components, pairs
-   across components with an estimate of 0.65 or more (six standard deviations below the
-   threshold) are confirmed.  Shingles that no other such document has bound what a document can
-   share: one with more than the threshold allows is linked with nothing and leaves, which is
-   exact and ends families of copies that drifted too far.  Large buckets are cut in blocks and
-   compared block by block.
-
-Hot groups therefore cost one pair a member; no cap or sample is applied anywhere.
+3. What a star can't show: members of buckets that still hold several components.  Shingles that
+   no other such document has bound what a document can share: one with more than the threshold
+   allows is linked with nothing and leaves, which is exact and ends families of copies that
+   drifted too far.  The others are compared on full sets, block by block, and a pair of blocks
+   gives no more links than join its components.
+
+Hot groups therefore give one pair a member; no cap or sample is applied anywhere.
 """
 
 from __future__ import annotations
@@ -36,10 +35,14 @@ PERMUTATIONS = 64
 BANDS = 32
 ROWS = 2 * PERMUTATIONS // BANDS
 SHINGLE = 5
-#: Pairs whose signatures agree in a smaller share can't reach the threshold.
-ESTIMATE_FLOOR = 0.65
-#: Members of a bucket that one task compares with one another.
-BLOCK = 2048
+#: Pairs whose signatures agree in a share smaller than the threshold by more can't reach it: it is
+#: five standard deviations of 128 values at least.
+MARGIN = 0.2
+#: Members of a family, and shingles of them, in one block; a task compares two blocks.
+BLOCK = 512
+BLOCK_SHINGLES = 400_000
+#: Shingles whose occurrences are multiplied at a time.
+COLUMNS = 4096
 
 _rng = np.random.default_rng(1985)
 _XOR = _rng.integers(1 << 63, size=PERMUTATIONS, dtype=np.uint64) * G.U64(2) + G.U64(1)
@@ -133,7 +136,7 @@ def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, _SKETCH)
 
 
-def _estimated(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+def _estimated(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with the share of signature values on which they agree."""
 
     @F.pandas_udf("double")
@@ -144,13 +147,14 @@ def _estimated(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
         return pd.Series((left == right).mean(axis=1))
 
     of = lambda side: sigs.select(F.col("rep").alias(side), F.col("sig").alias(f"{side}_sig"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", agree("a_sig", "b_sig").alias("estimate")).where(F.col("estimate") >= ESTIMATE_FLOOR)
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", agree("a_sig", "b_sig").alias("estimate")).where(F.col("estimate") >= percent / 100 - MARGIN)
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= percent * union.
 
-    Whole texts of the documents concerned meet their pairs; sets are formed in the last step.
+    Whole texts of the documents concerned meet their pairs; sets are formed in the last step, for
+    a bounded stretch of pairs at a time.
     """
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = materialise(docs.join(ends, "doc_id", "left_semi"), "pair-texts")
@@ -159,34 +163,23 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left_data, left_at = G.utf8(batch.column(2))
-            right_data, right_at = G.utf8(batch.column(3))
-            left, l_at = _sets(left_data, left_at)
-            right, r_at = _sets(right_data, right_at)
-            n = len(batch)
-            l_size, r_size = np.diff(l_at), np.diff(r_at)
-            row = np.concatenate((np.repeat(np.arange(n), l_size), np.repeat(np.arange(n), r_size)))
-            value = np.concatenate((left, right))
-            order = np.lexsort((value, row))
-            row, value = row[order], value[order]
-            same = np.flatnonzero((row[1:] == row[:-1]) & (value[1:] == value[:-1]))
-            both = np.bincount(row[same], minlength=n)
-            good = (both > 0) & (100 * both >= percent * (l_size + r_size - both))
-            keep = pa.array(np.flatnonzero(good))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
+            sides = [G.utf8(batch.column(k)) for k in (2, 3)]
+            for i, j in G.slices(sides[0][1] + sides[1][1]):
+                (left, l_at), (right, r_at) = (shingles(data[at[i] : at[j]], at[i : j + 1] - at[i]) for data, at in sides)
+                n, l_size, r_size = j - i, np.diff(l_at), np.diff(r_at)
+                row = np.concatenate((np.repeat(np.arange(n), l_size), np.repeat(np.arange(n), r_size)))
+                value = np.concatenate((left, right))
+                order = np.lexsort((value, row))
+                row, value = row[order], value[order]
+                same = np.flatnonzero((row[1:] == row[:-1]) & (value[1:] == value[:-1]))
+                both = np.bincount(row[same], minlength=n)
+                good = (both > 0) & (100 * both >= percent * (l_size + r_size - both))
+                keep = pa.array(i + np.flatnonzero(good))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
 
     return joined.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
 
 
-def _sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    parts, sizes = [], [np.zeros(1, np.int64)]
-    for i, j in G.slices(offsets):
-        values, at = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        parts.append(values)
-        sizes.append(np.diff(at))
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.cumsum(np.concatenate(sizes))
-
-
 def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs whose ends still lie in different components."""
     to = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
@@ -213,38 +206,95 @@ def _shared_shingles(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def _across(buckets: DataFrame, reps: DataFrame, docs: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs within a bucket and across components that can reach the threshold."""
+    """Links across components among the members of buckets that still hold several of them.
+
+    Buckets that share members form families; a family is cut in blocks of bounded size, and each
+    pair of blocks is compared on full sets in one task, which returns no more links than it needs
+    to join what belongs together.
+    """
     placed = materialise(
         buckets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("band", "bucket", "rep", F.coalesce("root", "rep").alias("root")), "placed"
     )
-    of_several = lambda rows: rows.groupBy("band", "bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo < hi")
-    several = materialise(of_several(placed).select("band", "bucket"), "several")
-    rows = materialise(placed.join(several, ["band", "bucket"]), "mixed-rows")
+    several = lambda rows: rows.groupBy("band", "bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("rep").alias("first")).where("lo < hi").select("band", "bucket", "first")
+    rows = materialise(placed.join(several(placed).drop("first"), ["band", "bucket"]), "mixed-rows")
     sizes = reps.groupBy("rep").agg(F.min("n_shingles").alias("least"), F.sum("n_shingles").alias("most"))
     members = materialise(sizes.join(rows.select("rep").distinct(), "rep"), "members")
-    able = materialise(_shared_shingles(docs, members).where(F.col("common") * 100 >= F.col("size") * percent), "able")
+    able = materialise(_shared_shingles(docs, members).where(F.col("common") * 100 >= F.col("size") * percent).select("rep"), "able")
     rows = materialise(rows.join(able, "rep"), "able-rows")
-    mixed = materialise(of_several(rows).select("band", "bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "mixed")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int")
-    rows = rows.join(mixed, ["band", "bucket"]).join(reps.select("rep", "sig"), "rep").withColumn("own", own)
+    mixed = rows.join(several(rows), ["band", "bucket"]).select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    family = merge(mixed.distinct())
+    heads = family.select(F.col("root").alias("rep")).distinct().select("rep", F.col("rep").alias("family"))
+    inside = heads.unionByName(family.select(F.col("node").alias("rep"), F.col("root").alias("family")))
+    inside = materialise(inside.join(sizes, "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "family", "most", F.coalesce("root", "rep").alias("root")), "families")
+    blocks = inside.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("most") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    inside = inside.join(blocks, "family").select("rep", "family", "root", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int").alias("own"))
+    sets = materialise(_shingle_sets(docs, inside.select("rep")).join(inside, "rep"), "family-sets")
     # a block meets itself and every other block once: rows go to (own, j) and (j, own)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "root", "size", "common", "sig")
+    rows = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "root", "shingles")
+    return rows.groupBy("family", "x", "y").applyInArrow(lambda key, table: _links(key, table, percent), "a long, b long")
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        sig = np.frombuffer(b"".join(part["sig"]), np.uint16).reshape(len(part), -1)
-        rep, root, own, size, common = (part[c].to_numpy() for c in ("rep", "root", "own", "size", "common"))
-        for i in range(len(part)):
-            both = np.minimum(common, common[i])
-            other = np.flatnonzero((rep > rep[i]) & (root != root[i]) & ((own != own[i]) | (key[2] == key[3])) & (100 * both >= percent * (size + size[i] - both)))
-            if len(other):
-                close = other[(sig[other] == sig[i]).mean(axis=1) >= ESTIMATE_FLOOR]
-                found.append(np.column_stack((np.full(len(close), rep[i]), rep[close])))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return rows.groupBy("band", "bucket", "x", "y").applyInPandas(run, "a long, b long").distinct()
+def _shingle_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """rep and shingles (its whole set) of each text of ``members``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = G.utf8(batch.column(1))
+            for i, j in G.slices(offsets):
+                values, at = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(G.signed(values)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], names=["rep", "shingles"])
+
+    texts = docs.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+    return texts.mapInArrow(run, "rep long, shingles array<long>")
+
+
+def _links(key: tuple, table: pa.Table, percent: int) -> pa.Table:
+    """Links (a, b) between rows of block x and rows of block y: a forest over their components.
+
+    Intersections come from products of 0/1 matrices over the shingles that several rows have,
+    some columns at a time; sums stay below 2**24, so single precision is exact.
+    """
+    own, rep, root = (table.column(c).to_numpy() for c in ("own", "rep", "root"))
+    x, y = key[1].as_py(), key[2].as_py()
+    left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+    lists = table.column("shingles").combine_chunks()
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+    values = lists.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(own)), size)
+    order = np.argsort(values, kind="stable")
+    values, row = values[order], row[order]
+    new = np.append(True, values[1:] != values[:-1])
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column) > 1
+    take = shared[column]
+    row, column = row[take], (np.cumsum(shared) - 1)[column[take]]
+    both = np.zeros((len(left), len(right)), np.float32)
+    n_columns = int(shared.sum())
+    bound = np.searchsorted(column, np.arange(0, n_columns + COLUMNS, COLUMNS))
+    for k in range(len(bound) - 1):
+        part = slice(bound[k], bound[k + 1])
+        has = np.zeros((len(own), min(COLUMNS, n_columns - k * COLUMNS)), np.float32)
+        has[row[part], column[part] - k * COLUMNS] = 1
+        both += has[left] @ has[right].T
+    linked = (both > 0) & (100.0 * both >= percent * (size[left][:, None] + size[right][None, :] - both.astype(np.float64)))
+    linked &= root[left][:, None] != root[right][None, :]
+    above: dict[int, int] = {}
+
+    def top(r: int) -> int:
+        while r in above:
+            above[r] = above.get(above[r], above[r])
+            r = above[r]
+        return r
+
+    out = []
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        a, b = top(int(root[left[i]])), top(int(root[right[j]]))
+        if a != b:
+            above[max(a, b)] = min(a, b)
+            out.append((int(rep[left[i]]), int(rep[right[j]])))
+    return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
@@ -273,13 +323,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = materialise(named.join(least, ["band", "bucket"]).select("band", "bucket", "rep", "a"), "shared")
     star = shared.where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     sigs = reps.select("rep", "sig")
-    pairs = materialise(_estimated(star, sigs).groupBy("a", "b").agg(F.max("estimate").alias("estimate")), "pairs")
+    pairs = materialise(_estimated(star, sigs, percent).groupBy("a", "b").agg(F.max("estimate").alias("estimate")), "pairs")
     best = pairs.groupBy("b").agg(F.max_by("a", "estimate").alias("a"))
     roots = merge(_confirmed(materialise(best.select("a", "b"), "best"), docs, percent), roots)
     rest = materialise(_rooted(pairs.select("a", "b").join(best.select("a", "b"), ["a", "b"], "left_anti"), roots), "rest")
     roots = merge(_confirmed(rest, docs, percent), roots)
-    across = materialise(_rooted(_across(shared.select("band", "bucket", "rep"), reps, docs, roots, percent), roots), "across")
-    roots = merge(_confirmed(across, docs, percent), roots)
+    roots = merge(_across(shared.select("band", "bucket", "rep"), reps, docs, roots, percent), roots)
 
     out = sketches.select("doc_id", "n_shingles").join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
     component = F.coalesce("root", "doc_id")

@@ -97,3 +97,42 @@ def test_null_ids_repeats_and_empty_tables(spark):
     assert substrings.remove(frame).count() == 5
     empty = frame.limit(0)
     assert minhash.near_duplicates(empty).count() == 0 and substrings.remove(empty).count() == 0
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_dense_family_is_compared_block_by_block(spark, monkeypatch, percent):
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    rnd = random.Random(percent)
+    base = [f"v{rnd.randrange(500)}" for _ in range(100)]
+    out = []
+    for _ in range(60):  # about at the threshold from one another
+        now = list(base)
+        for _ in range(rnd.randrange(0, 4)):
+            now[rnd.randrange(100)] = f"x{rnd.randrange(3000)}"
+        out.append(" ".join(now))
+    rows = list(enumerate(out))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()}
+    assert got == brute_near(rows, percent)
+
+
+def test_links_join_all_components_of_two_blocks():
+    import pyarrow as pa
+
+    rnd = random.Random(5)
+    sets = [sorted(set(range(100)) - {rnd.randrange(100) for _ in range(12)} | {1000 + 7 * i for _ in range(3)}) for i in range(40)]
+    sets[5] = list(range(5000, 5020))
+    table = pa.table({"own": [i % 2 for i in range(40)], "rep": list(range(40)), "root": list(range(40)), "shingles": pa.array(sets, pa.list_(pa.int64()))})
+    for x, y in ((0, 0), (0, 1), (1, 1)):
+        pairs = minhash._links((None, pa.scalar(x), pa.scalar(y)), table, 80).to_pylist()
+        ok = [(a, b) for a in range(40) for b in range(40) if a % 2 == x and b % 2 == y and a != b and 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})]
+
+        def classes(edges):
+            root = list(range(40))
+            for _ in range(40):
+                for a, b in edges:
+                    root[a] = root[b] = min(root[a], root[b])
+            return root
+
+        assert {(p["a"], p["b"]) for p in pairs} <= set(ok)
+        assert classes([(p["a"], p["b"]) for p in pairs]) == classes(ok)
+        assert len(pairs) < 40
