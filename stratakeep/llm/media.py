@@ -117,24 +117,33 @@ def store(docs: DataFrame, folder: str, text: str = "text", shard_bytes: int = S
                         name, size = f"{uuid.uuid4().hex}.tar", 0
                         out = fs.open_output_stream(f"{root}/{name}")
                     out.write(_tar_header(f"{digest.hexdigest()}.png", len(image)) + image + b"\0" * (-len(image) % 512))
-                    rows.append((digest.hexdigest(), f"{folder}/{name}", size + 512, len(image), hashlib.sha256(image).hexdigest()))
+                    rows.append((digest.digest(), f"{folder}/{name}", size + 512, len(image), hashlib.sha256(image).digest()))
                     size += 512 + len(image) + -len(image) % 512
                     if size >= shard_bytes:
                         out.write(b"\0" * 1024)
                         out.close()
                         out = None
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+            kinds = [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["digest", "shard", "offset", "length", "media_sha256"])
         if out is not None:
             out.write(b"\0" * 1024)
             out.close()
 
-    written = docs.select(F.col(f"`{text}`").cast("binary").alias("data")).mapInArrow(run, "digest string, shard string, offset long, length long, media_sha256 string")
+    written = docs.select(F.col(f"`{text}`").cast("binary").alias("data")).mapInArrow(run, "digest binary, shard string, offset long, length long, media_sha256 binary")
     written = materialise(written, "addresses")  # all shards are closed before any address is used
-    return written.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length", "media_sha256")).alias("at")).select("digest", "at.*")
+    least = written.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length", "media_sha256")).alias("at"))
+    out = least.select(_hex("digest"), "at.shard", "at.offset", "at.length", _hex("at.media_sha256").alias("media_sha256"))
+    out._stratakeep_path = written._stratakeep_path
+    return out
+
+
+def _hex(column: str):
+    return F.lower(F.hex(column)).alias(column)
 
 
 def _ranges(stored: DataFrame) -> DataFrame:
+    """Rows in the order of their bytes, a stretch of a shard together; digests travel as bytes."""
+    stored = stored.select(F.unhex("digest").alias("digest"), "shard", "offset", "length", F.unhex("media_sha256").alias("media_sha256"))
     return stored.repartition(width(stored.sparkSession), "shard", F.floor(F.col("offset") / (8 << 20))).sortWithinPartitions("shard", "offset")
 
 
@@ -161,10 +170,12 @@ def metadata(stored: DataFrame) -> DataFrame:
         shards = _Shards()
         for batch in batches:
             heads = [png_header(shards.read(s, o, HEADER)) for s, o in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns + [pa.array([x[i] for x in heads], pa.int32()) for i in range(4)], names=[*batch.schema.names, "width", "height", "depth", "colour"])
+            digests = [pa.array([x.hex() for x in batch.column(i).to_pylist()], pa.string()) for i in (0, 4)]
+            columns = [digests[0], *batch.columns[1:4], digests[1]] + [pa.array([x[i] for x in heads], pa.int32()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "width", "height", "depth", "colour"])
 
     schema = "digest string, shard string, offset long, length long, media_sha256 string, width int, height int, depth int, colour int"
-    return _ranges(stored.select("digest", "shard", "offset", "length", "media_sha256")).mapInArrow(run, schema)
+    return _ranges(stored).mapInArrow(run, schema)
 
 
 def features(described: DataFrame) -> DataFrame:
