@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-1. Terms are lower-cased words and word beginnings of 4 to 6 letters.  On a bounded sample of the
-   labelled rows (``max_examples``) those that go with the toxic label are kept (``max_terms``).
+1. Terms are lower-cased words and word beginnings of 4 to 6 letters, and for each the levels of
+   frequency that a text reaches.  On a bounded sample of the labelled rows (``max_examples``)
+   those that go with the toxic label are kept (``max_terms``).
 2. One pass over all documents notes which kept terms each has and how often; document
    frequencies for the inverse weights are counted over the whole corpus.
 3. The sample's vectors form an inverted index whose postings are cut in blocks with their largest
@@ -33,38 +34,73 @@ MAX_EXAMPLES = 20_000
 MAX_TERMS = 4096
 LEAST_Z = 5.0
 LEAST_DOCS = 4
+#: A term has to stand in this share of the toxic examples, and be toxic in this share of its own.
+LEAST_SHARE = 0.01
+LEAST_PURITY = 0.5
 NEIGHBOURS = 16
 BLOCK = 64
 SMOOTHING = 0.5
+#: Texts whose terms one task holds together.
+ROWS_AT_ONCE = 512
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 
 
+#: How often a term stands in a text is told by further terms: so many times, and a share of words.
+LEVELS = (2, 4)
+DENSE = 0.01
+
+
+def term_counts(text: str) -> tuple[dict[str, int], int]:
+    """Words and beginnings of longer words (marked by a star) with their counts; words in all."""
+    words = Counter(_WORD.findall(text.lower()))
+    out: dict[str, int] = dict(words)
+    for w, c in words.items():
+        for n in PREFIXES:
+            if len(w) > n:
+                key = w[:n] + "*"
+                out[key] = out.get(key, 0) + c
+    return out, sum(words.values())
+
+
+def levels(count: int, words: int) -> list[str]:
+    """Marks of the levels that a count reaches."""
+    return [f" {n}" for n in LEVELS if count >= n] + ([" %"] if count >= DENSE * words else [])
+
+
 def terms(text: str) -> set[str]:
-    """Words, and beginnings of longer words (marked by a star)."""
-    out = set(_WORD.findall(text.lower()))
-    return out | {w[:n] + "*" for w in out for n in PREFIXES if len(w) > n}
+    """All terms of a text, with their levels."""
+    counts, words = term_counts(text)
+    return set(counts) | {t + mark for t, c in counts.items() for mark in levels(c, words)}
 
 
 class Vocabulary:
     """Counts kept terms in texts."""
 
     def __init__(self, kept: list[str]):
-        self.words = {t: i for i, t in enumerate(kept) if not t.endswith("*")}
-        self.starts = {t[:-1]: i for i, t in enumerate(kept) if t.endswith("*")}
+        self.index = {t: i for i, t in enumerate(kept)}
+        base = {t.split(" ")[0] for t in kept}
+        self.words = {t for t in base if not t.endswith("*")}
+        self.starts = {t[:-1]: t for t in base if t.endswith("*")}
         self.least = {s[: PREFIXES[0]] for s in self.starts}
 
     def count(self, text: str) -> dict[int, int]:
         counts = Counter(_WORD.findall(text.lower()))
-        out: dict[int, int] = {}
-        for word in counts.keys() & self.words.keys():
-            out[self.words[word]] = counts[word]
+        base: dict[str, int] = {w: counts[w] for w in counts.keys() & self.words}
         least, starts = self.least, self.starts
         for word in [w for w in counts if w[:4] in least]:
             for n in PREFIXES:
-                i = starts.get(word[:n]) if len(word) > n else None
-                if i is not None:
-                    out[i] = out.get(i, 0) + counts[word]
+                term = starts.get(word[:n]) if len(word) > n else None
+                if term is not None:
+                    base[term] = base.get(term, 0) + counts[word]
+        out: dict[int, int] = {}
+        words = sum(counts.values())
+        for term, c in base.items():
+            if term in self.index:
+                out[self.index[term]] = c
+            for mark in levels(c, words):
+                if term + mark in self.index:
+                    out[self.index[term + mark]] = 1
         return out
 
 
@@ -192,15 +228,17 @@ def fit_terms(examples: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
     """Terms that go with the toxic label in ``examples`` (text, toxic): largest z first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            toxic, all_ = Counter(), Counter()
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = terms(text or "")
-                all_.update(found)
-                if label:
-                    toxic.update(found)
-            keys = list(all_)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([all_[t] for t in keys], pa.int64()), pa.array([toxic[t] for t in keys], pa.int64())], names=["term", "docs", "toxic"])
+        for whole in batches:
+            for at in range(0, len(whole), ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                toxic, all_ = Counter(), Counter()
+                for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    found = terms(text or "")
+                    all_.update(found)
+                    if label:
+                        toxic.update(found)
+                keys = list(all_)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([all_[t] for t in keys], pa.int64()), pa.array([toxic[t] for t in keys], pa.int64())], names=["term", "docs", "toxic"])
 
     sizes = examples.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     n, t = sizes.n, sizes.t or 0
@@ -209,7 +247,8 @@ def fit_terms(examples: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
     counts = examples.select("text", "toxic").mapInArrow(run, "term string, docs long, toxic long").groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
     rate = F.col("docs") / n
     z = (F.col("toxic") / t - (F.col("docs") - F.col("toxic")) / (n - t)) / F.sqrt(rate * (1 - rate) * (1 / t + 1 / (n - t)))
-    best = counts.where((F.col("toxic") >= LEAST_DOCS) & (F.col("docs") < n)).withColumn("z", z).where(F.col("z") >= LEAST_Z)
+    enough = (F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * t)) & (F.col("toxic") >= LEAST_PURITY * F.col("docs")) & (F.col("docs") < n)
+    best = counts.where(enough).withColumn("z", z).where(F.col("z") >= LEAST_Z)
     return [r.term for r in best.orderBy(F.desc("z"), "term").limit(max_terms).collect()]
 
 
