@@ -29,6 +29,7 @@ class Engine:
         self.spark, self.storage, self.fold_after = spark, Storage(spark, root), fold_after
         self.storage.open()
         self.closed = False
+        self._cached: dict[str, tuple] = {}
         self.kv = KV(self.transaction)
 
     @classmethod
@@ -132,10 +133,20 @@ class Engine:
 
     # maintenance
 
-    def compact(self, name: str | None = None, partitions: int | None = None) -> list[str]:
+    def cached(self, name: str) -> DataFrame:
+        """The table's newest version, kept in the executors' memory until a newer one is asked for."""
+        state = self.transaction().state(name)
+        held = self._cached.get(name)
+        if held and held[0] != state:
+            held[1].unpersist()
+        if not held or held[0] != state:
+            self._cached[name] = (state, self.table(name).cache())
+        return self._cached[name][1]
+
+    def compact(self, name: str | None = None, partitions: int | None = None, bloom: bool = False) -> list[str]:
         """Rewrite tables as one sorted base; returns those that were rewritten."""
         names = [name] if name is not None else list(self.storage.head().tables)
-        return [n for n in names if self._maintain(n, lambda s: self.storage.rewrite(s, partitions), lambda s: s.deltas or s.external)]
+        return [n for n in names if self._maintain(n, lambda s: self.storage.rewrite(s, partitions, bloom), lambda s: s.deltas or s.external)]
 
     def fold(self, name: str) -> bool:
         """Merge a table's deltas into one."""

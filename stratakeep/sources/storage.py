@@ -207,12 +207,16 @@ class Storage:
             return live
         return base.join(newest.select(*state.schema.key), state.schema.key, "left_anti").select(*state.schema.stored).unionByName(live)
 
-    def rewrite(self, state: TableState, partitions: int | None = None) -> TableState:
-        """The table as one base in the order of its primary key, so that key ranges prune files."""
+    def rewrite(self, state: TableState, partitions: int | None = None, bloom: bool = False) -> TableState:
+        """The table as one base in the order of its primary key, so that key ranges prune files.
+        ``bloom`` adds filters on key columns, which spare point reads most row groups."""
         rows, keys = self.view(state), [F.col(c) for c in state.schema.key]
         dealt = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
         path = self.new_dir(state.schema.table)
-        dealt.sortWithinPartitions(*keys).write.parquet(path)
+        writer = dealt.sortWithinPartitions(*keys).write
+        for column in state.schema.key if bloom else ():
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer.parquet(path)
         return replace(state, base=path, external=None, deltas=())
 
     def fold(self, state: TableState) -> TableState:
