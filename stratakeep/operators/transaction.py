@@ -186,10 +186,21 @@ class Transaction:
         first = typed.groupBy(*schema.key).agg(F.min(F.struct(*schema.rest)).alias("row"))
         return first.select(*schema.key, *[F.col(f"row.{c}").alias(c) for c in schema.rest]).select(*schema.stored)
 
+    def _near(self, name: str, rows: DataFrame) -> DataFrame:
+        """The table's rows in the range of the first key column that ``rows`` spans: what lies
+        outside can't match, and files in key order are skipped by it."""
+        state = self.state(name)
+        view = self.storage.view(state)
+        if not state.base and not state.external:
+            return view
+        first = F.col(state.schema.key[0])
+        low, high = rows.agg(F.min(first), F.max(first)).first()
+        return view.where(F.lit(False)) if low is None else view.where(first.between(F.lit(low), F.lit(high)))
+
     def insert_df(self, name: str, rows: DataFrame) -> int:
         """Add rows whose key is new; others change nothing.  Returns how many were added."""
         new = self._incoming(name, rows)
-        fresh = new.join(self.view(name).select(*self.schema(name).key), self.schema(name).key, "left_anti")
+        fresh = new.join(self._near(name, new).select(*self.schema(name).key), self.schema(name).key, "left_anti")
         return self.stage(name, fresh.withColumn("deleted", F.lit(False)))
 
     def upsert_df(self, name: str, rows: DataFrame) -> int:
@@ -202,8 +213,9 @@ class Transaction:
 
     def _replace(self, name: str, rows: DataFrame, how: str) -> int:
         schema = self.schema(name)
-        old = self.view(name).select(*schema.key, F.struct(*schema.rest).alias("old") if schema.rest else F.lit(True).alias("old"))
-        joined = self._incoming(name, rows).join(old, schema.key, how)
+        new = self._incoming(name, rows)
+        old = self._near(name, new).select(*schema.key, F.struct(*schema.rest).alias("old") if schema.rest else F.lit(True).alias("old"))
+        joined = new.join(old, schema.key, how)
         differs = ~F.struct(*schema.rest).eqNullSafe(F.col("old")) if schema.rest else F.col("old").isNull()
         return self.stage(name, joined.where(differs).select(*schema.stored, F.lit(False).alias("deleted")))
 
@@ -212,7 +224,8 @@ class Transaction:
         schema = self.schema(name)
         if len(keys.columns) != len(schema.key):
             raise AnalysisError("schema mismatch")
-        found = self.view(name).join(keys.toDF(*schema.key).dropDuplicates(), schema.key, "left_semi")
+        keys = keys.toDF(*schema.key).dropDuplicates()
+        found = self._near(name, keys).join(keys, schema.key, "left_semi")
         return self.stage(name, found.withColumn("deleted", F.lit(True)))
 
     def _one(self, name: str, row: list | tuple) -> DataFrame:
