@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,12 +49,39 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, tag)
+    for scope in _SCOPES[-1:]:
+        scope.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stratakeep_path = path
     return out
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete what ``materialise`` wrote inside when the block ends, but for frames handed to the
+    function that it yields; those belong to the block around this one."""
+    _SCOPES.append([])
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._stratakeep_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        paths = _SCOPES.pop()
+        for scope in _SCOPES[-1:]:
+            scope += kept
+        for path in paths:
+            if path not in kept:
+                delete_path(spark, path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a frame made by ``materialise`` that nothing reads any more."""
     path = getattr(df, "_stratakeep_path", None)
@@ -65,9 +94,17 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Rows that a Python worker gets at a time; each can carry a whole text or two.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors that don't have it installed (once per context)."""
+    """Make this package importable on executors that don't have it installed (once per context),
+    and batches for Python workers short, unless the session has set their length itself."""
     context = spark.sparkContext
+    if spark.conf.get(_BATCH) == spark._jvm.org.apache.spark.sql.internal.SQLConf().getConfString(_BATCH):
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if getattr(context, "_stratakeep_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
@@ -100,5 +137,29 @@ def shared_fs(path: str):
     return pafs.FileSystem.from_uri(path)
 
 
+def released(run):
+    """``run`` for mapInArrow, giving memory back when it ends: Python workers live on and serve
+    other tasks, and an executor has to hold all of them."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return wrapped
+
+
+def _release() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def empty_if_null(column: str):
     return F.coalesce(F.col(column), F.lit(""))

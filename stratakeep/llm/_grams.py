@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -43,7 +43,7 @@ class Base:
 
     def tables(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self._up) < n:
-            size = 1 << max(20, (n - 1).bit_length())
+            size = 1 << max(18, (n - 1).bit_length())
             self._up = _powers(self.base, size)
             self._down = _powers(self.inverse, size)
         return self._up[:n], self._down[:n]

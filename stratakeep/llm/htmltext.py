@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ship
+from ._common import released, ship
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title iframe object svg math select".split())
@@ -328,5 +328,5 @@ def extract(pages: DataFrame, html: str = "html", output: str = "text", field: F
                 texts = pa.array([main_text(x, shared.value) for x in batch.column(len(kept)).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + [texts], names=[f"k{i}" for i in range(len(kept))] + ["t"])
 
-    mapped = pages.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col(f"`{html}`").alias("h")).mapInArrow(run, schema)
+    mapped = pages.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col(f"`{html}`").alias("h")).mapInArrow(released(run), schema)
     return mapped.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], F.col("t").alias(output))

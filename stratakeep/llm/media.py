@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, new_path, shared_fs, ship, width
+from ._common import materialise, new_path, released, shared_fs, ship, width
 
 ROW = 576
 SHARD_BYTES = 128 << 20
@@ -129,7 +129,7 @@ def store(docs: DataFrame, folder: str, text: str = "text", shard_bytes: int = S
             out.write(b"\0" * 1024)
             out.close()
 
-    written = docs.select(F.col(f"`{text}`").cast("binary").alias("data")).mapInArrow(run, "digest binary, shard string, offset long, length long, media_sha256 binary")
+    written = docs.select(F.col(f"`{text}`").cast("binary").alias("data")).mapInArrow(released(run), "digest binary, shard string, offset long, length long, media_sha256 binary")
     written = materialise(written, "addresses")  # all shards are closed before any address is used
     least = written.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length", "media_sha256")).alias("at"))
     out = least.select(_hex("digest"), "at.shard", "at.offset", "at.length", _hex("at.media_sha256").alias("media_sha256"))
@@ -175,7 +175,7 @@ def metadata(stored: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "width", "height", "depth", "colour"])
 
     schema = "digest string, shard string, offset long, length long, media_sha256 string, width int, height int, depth int, colour int"
-    return _ranges(stored).mapInArrow(run, schema)
+    return _ranges(stored).mapInArrow(released(run), schema)
 
 
 def features(described: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def features(described: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(batch.columns + [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[*batch.schema.names, "payload_bytes", "payload_sha256", "tail_crc32", "feature"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in described.schema) + ", payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
-    return described.mapInArrow(run, schema)
+    return described.mapInArrow(released(run), schema)
 
 
 def addressed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

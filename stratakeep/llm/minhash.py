@@ -22,13 +22,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _grams as G
-from ._common import discard, materialise, ship
+from ._common import materialise, released, scratch, ship
 from .components import merge
 
 PERMUTATIONS = 64
@@ -133,21 +132,23 @@ def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                     names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sig"],
                 )
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, _SKETCH)
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(released(run), _SKETCH)
 
 
 def _estimated(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with the share of signature values on which they agree."""
+    """Pairs (a, b) with the share of signature values on which they agree, if it is large enough."""
 
-    @F.pandas_udf("double")
-    def agree(x: pd.Series, y: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype="float64")
-        left, right = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1) for s in (x, y))
-        return pd.Series((left == right).mean(axis=1))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(len(batch), -1) for k in (2, 3))
+                share = (left == right).mean(axis=1)
+                near = pa.array(np.flatnonzero(share >= percent / 100 - MARGIN))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(near), batch.column(1).take(near), pa.array(share).take(near)], names=["a", "b", "estimate"])
 
     of = lambda side: sigs.select(F.col("rep").alias(side), F.col("sig").alias(f"{side}_sig"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", agree("a_sig", "b_sig").alias("estimate")).where(F.col("estimate") >= percent / 100 - MARGIN)
+    joined = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_sig", "b_sig")
+    return joined.mapInArrow(released(run), "a long, b long, estimate double")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -177,7 +178,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 keep = pa.array(i + np.flatnonzero(good))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
 
-    return joined.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "a_text", "b_text").mapInArrow(released(run), "a long, b long")
 
 
 def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -200,7 +201,7 @@ def _shared_shingles(docs: DataFrame, members: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(G.signed(values)), pa.array(np.repeat(ids[i:j], np.diff(at)))], names=["shingle", "doc"])
 
     texts = docs.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-    owners = texts.mapInArrow(run, "shingle long, doc long").groupBy("shingle").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    owners = texts.mapInArrow(released(run), "shingle long, doc long").groupBy("shingle").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
     alone = owners.where("lo = hi").groupBy(F.col("lo").alias("rep")).agg(F.count("*").alias("alone"))
     return members.join(alone, "rep", "left").select("rep", F.col("least").alias("size"), (F.col("most") - F.coalesce("alone", F.lit(0))).alias("common"))
 
@@ -226,11 +227,19 @@ def _across(buckets: DataFrame, reps: DataFrame, docs: DataFrame, roots: DataFra
     heads = family.select(F.col("root").alias("rep")).distinct().select("rep", F.col("rep").alias("family"))
     inside = heads.unionByName(family.select(F.col("node").alias("rep"), F.col("root").alias("family")))
     inside = materialise(inside.join(sizes, "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "family", "most", F.coalesce("root", "rep").alias("root")), "families")
-    blocks = inside.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("most") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    inside = inside.join(blocks, "family").select("rep", "family", "root", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int").alias("own"))
+    # the largest component has blocks of its own, which needn't meet one another
+    counts = inside.groupBy("family", "root").agg(F.count("*").alias("n"), F.sum("most").alias("m"))
+    of_family = counts.groupBy("family").agg(F.max_by(F.struct("root", "n", "m"), F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.sum("m").alias("m"))
+    blocks = lambda n, m: F.greatest(F.ceil(n / BLOCK), F.ceil(m / BLOCK_SHINGLES)).cast("int")
+    of_family = of_family.where(F.col("n") > F.col("main.n")).select(
+        "family", F.col("main.root").alias("main"), blocks(F.col("main.n"), F.col("main.m")).alias("ahead"), blocks(F.col("n") - F.col("main.n"), F.col("m") - F.col("main.m")).alias("behind")
+    )
+    is_main, pick = F.col("root") == F.col("main"), F.xxhash64("rep")
+    own = F.when(is_main, F.pmod(pick, F.col("ahead").cast("long"))).otherwise(F.col("ahead") + F.pmod(pick, F.col("behind").cast("long"))).cast("int")
+    inside = materialise(inside.join(of_family, "family").select("rep", "family", "root", own.alias("own"), F.when(is_main, F.col("ahead")).otherwise(0).alias("from"), (F.col("ahead") + F.col("behind")).alias("blocks")), "blocks")
     sets = materialise(_shingle_sets(docs, inside.select("rep")).join(inside, "rep"), "family-sets")
-    # a block meets itself and every other block once: rows go to (own, j) and (j, own)
-    rows = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # any other two blocks meet once, and a block meets itself: rows go to (own, j) and (j, own)
+    rows = sets.withColumn("other", F.explode(F.sequence(F.col("from"), F.col("blocks") - 1)))
     rows = rows.select("family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "root", "shingles")
     return rows.groupBy("family", "x", "y").applyInArrow(lambda key, table: _links(key, table, percent), "a long, b long")
 
@@ -247,7 +256,7 @@ def _shingle_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], names=["rep", "shingles"])
 
     texts = docs.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-    return texts.mapInArrow(run, "rep long, shingles array<long>")
+    return texts.mapInArrow(released(run), "rep long, shingles array<long>")
 
 
 def _links(key: tuple, table: pa.Table, percent: int) -> pa.Table:
@@ -310,6 +319,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if percent < 80:
         raise ValueError("percent below 80 isn't served by these bands")
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    with scratch(docs.sparkSession) as keep:
+        return keep(materialise(_classes(docs, percent), "near-duplicates"))
+
+
+def _classes(docs: DataFrame, percent: int) -> DataFrame:
     sketches = materialise(sketch(docs), "sketch")
     usable = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialise(usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
@@ -332,6 +346,4 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     out = sketches.select("doc_id", "n_shingles").join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
     component = F.coalesce("root", "doc_id")
-    for frame in (classes, reps, least, shared, pairs):
-        discard(frame)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

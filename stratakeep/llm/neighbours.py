@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, ship
+from ._common import materialise, released, ship
 
 SAMPLE = 4000
 HELD_OUT = 500
@@ -199,7 +199,7 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([k.hex() for k in groups], pa.string()), batch.column(1).take(pa.array(first, pa.int64())), pa.array(least, kind)], names=["key", "v", "ids"])
 
-    local = rows.mapInArrow(run, "key string, v array<double>, ids array<long>")
+    local = rows.mapInArrow(released(run), "key string, v array<double>, ids array<long>")
     return local.groupBy("key").agg(F.first("v").alias("v"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids"))
 
 
@@ -211,7 +211,7 @@ def keyed(rows: DataFrame) -> DataFrame:
             x = _matrix(batch.column(1)) + 0.0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.md5(row.tobytes()).hexdigest() for row in x], pa.string())], names=["id", "key"])
 
-    return rows.mapInArrow(run, "id long, key string")
+    return rows.mapInArrow(released(run), "id long, key string")
 
 
 def search(df: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE, target: float = TARGET) -> DataFrame:
@@ -247,10 +247,10 @@ def search(df: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embeddin
         return run
 
     schema = "key string, v array<double>, ids array<long>, parts array<int>"
-    placed = materialise(entries.select("key", "v", "ids").mapInArrow(route(1), schema).select("key", "v", "ids", F.col("parts")[0].alias("part")), "placed")
+    placed = materialise(entries.select("key", "v", "ids").mapInArrow(released(route(1)), schema).select("key", "v", "ids", F.col("parts")[0].alias("part")), "placed")
     sizes = placed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     grouped = placed.join(F.broadcast(sizes), "part").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    routed = materialise(asked.select("key", "v", "ids").mapInArrow(route(probes), schema).select("key", "v", F.explode("parts").alias("part")), "routed")
+    routed = materialise(asked.select("key", "v", "ids").mapInArrow(released(route(probes)), schema).select("key", "v", F.explode("parts").alias("part")), "routed")
     load = routed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("shares"))
     # blocks of rows meet blocks of queries: both sides of a group are bounded
     left = grouped.join(F.broadcast(load), "part").select("part", "block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "key", "v", "ids")

@@ -29,14 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _grams as G
-from ._common import materialise, ship, width
+from ._common import materialise, released, ship, width
 
-SLICE = 1 << 19
+SLICE = 1 << 18
 _ROWS = "kind int, part long, h long, c long, doc long, at long, n int"
 _FIELDS = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("n", pa.int32())])
 _OUT = "kind int, doc long, at long, n int"
 _OUT_FIELDS = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("at", pa.int64()), ("n", pa.int32())])
 COVERED, FORWARD, CHECK = 0, 1, 2
+#: Where the first window stands in a packed run of windows.
+WINDOW_SHIFT = 16
 
 
 @dataclass(frozen=True)
@@ -96,11 +98,11 @@ def least_places(grams: np.ndarray, reach: int) -> np.ndarray:
 
 def _pack(begin: np.ndarray, more: np.ndarray, anchor: np.ndarray | int = 0) -> np.ndarray:
     """First window, windows - 1 and the anchor's offset in one number that sorts by the first."""
-    return begin.astype(np.int64) * 65536 + more * 256 + anchor
+    return (begin.astype(np.int64) << WINDOW_SHIFT) + more * 256 + anchor
 
 
 def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return at >> 16, (at >> 8) & 255, at & 255
+    return at >> WINDOW_SHIFT, (at >> 8) & 255, at & 255
 
 
 def _collapse(h: np.ndarray, c: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -190,7 +192,7 @@ def _emit(parts: list) -> pa.RecordBatch:
 
 def _grouped(rows: DataFrame, spec: Windows, check: bool) -> DataFrame:
     dealt = rows.repartition(width(rows.sparkSession), "part").sortWithinPartitions("kind", "h", "c", "doc", "at")
-    return dealt.mapInArrow(_resolve(spec.first_stays, check), _OUT)
+    return dealt.mapInArrow(released(_resolve(spec.first_stays, check)), _OUT)
 
 
 def _block_rows(docs: DataFrame, spec: Windows) -> DataFrame:
@@ -206,7 +208,7 @@ def _block_rows(docs: DataFrame, spec: Windows) -> DataFrame:
                 h, c, doc, at = (np.concatenate([f[k] for f in found]) for k in range(4))
                 yield _collapse(h, c, doc, at, np.ones(len(h), np.int64))
 
-    return docs.select("doc", "text").mapInArrow(run, _ROWS)
+    return docs.select("doc", "text").mapInArrow(released(run), _ROWS)
 
 
 def _finer_rows(docs: DataFrame, checks: DataFrame, spec: Windows, piece: int) -> DataFrame:
@@ -251,7 +253,7 @@ def _finer_rows(docs: DataFrame, checks: DataFrame, spec: Windows, piece: int) -
                 yield _collapse(*(np.concatenate([f[k] for f in found]) for k in range(5)))
 
     joined = docs.join(listed, "doc").select("doc", "text", "blocks")
-    return joined.mapInArrow(run, _ROWS)
+    return joined.mapInArrow(released(run), _ROWS)
 
 
 def repeated_windows(docs: DataFrame, spec: Windows) -> DataFrame:
@@ -301,5 +303,5 @@ def per_document(docs: DataFrame, windows: DataFrame, spec: Windows) -> DataFram
             flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(off, flat(starts)), pa.ListArray.from_arrays(off, flat(ends))], names=["doc", "starts", "ends"])
 
-    runs = merged.select("doc", "windows").mapInArrow(run, "doc long, starts array<long>, ends array<long>")
+    runs = merged.select("doc", "windows").mapInArrow(released(run), "doc long, starts array<long>, ends array<long>")
     return docs.join(runs, "doc", "left")

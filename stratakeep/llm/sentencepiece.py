@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import ship
+from ._common import released, ship
 
 SPACE = "▁"
 REPLACEMENT = "�".encode()
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 #: Texts that are encoded together.
 ROWS_AT_ONCE = 128
 #: Stretches of more characters are not kept in the cache.
@@ -349,7 +349,7 @@ def encode(df: DataFrame, model_path: str, text: str = "text", outputs: tuple[st
                 columns = [pa.array(made[o], pa.string()) if o == "decoded" else _lists(made[o]) for o in outputs]
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + columns, names=names)
 
-    mapped = source.mapInArrow(run, inner)
+    mapped = source.mapInArrow(released(run), inner)
     return mapped.select(*[F.col(a.name).alias(b.name) for a, b in zip(inner.fields, fields, strict=True)])
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, ship
+from ._common import materialise, released, ship
 
 MAX_EXAMPLES = 20_000
 MAX_TERMS = 4096
@@ -40,8 +40,9 @@ LEAST_PURITY = 0.5
 NEIGHBOURS = 16
 BLOCK = 64
 SMOOTHING = 0.5
-#: Texts whose terms one task holds together.
-ROWS_AT_ONCE = 512
+#: Texts whose terms one task holds together, and scores that it remembers.
+ROWS_AT_ONCE = 128
+KNOWN = 2000
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 
@@ -232,8 +233,8 @@ def fit_terms(examples: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
             for at in range(0, len(whole), ROWS_AT_ONCE):
                 batch = whole.slice(at, ROWS_AT_ONCE)
                 toxic, all_ = Counter(), Counter()
-                for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    found = terms(text or "")
+                for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                    found = terms(text.as_py() or "")
                     all_.update(found)
                     if label:
                         toxic.update(found)
@@ -244,7 +245,7 @@ def fit_terms(examples: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
     n, t = sizes.n, sizes.t or 0
     if not t or t == n:
         return []
-    counts = examples.select("text", "toxic").mapInArrow(run, "term string, docs long, toxic long").groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
+    counts = examples.select("text", "toxic").mapInArrow(released(run), "term string, docs long, toxic long").groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
     rate = F.col("docs") / n
     z = (F.col("toxic") / t - (F.col("docs") - F.col("toxic")) / (n - t)) / F.sqrt(rate * (1 - rate) * (1 / t + 1 / (n - t)))
     enough = (F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * t)) & (F.col("toxic") >= LEAST_PURITY * F.col("docs")) & (F.col("docs") < n)
@@ -268,12 +269,14 @@ def score(docs: DataFrame, labels: DataFrame, train_where: str | None = None, ma
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(shared_terms.value)
-        for batch in batches:
-            found = [sorted(vocabulary.count(t or "").items()) for t in batch.column(1).to_pylist()]
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[i for i, _ in f] for f in found], kind), pa.array([[c for _, c in f] for f in found], kind)], names=["doc_id", "term", "tf"])
+        kind = pa.list_(pa.int32())
+        for whole in batches:
+            for at in range(0, len(whole), ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                found = [sorted(vocabulary.count(t.as_py() or "").items()) for t in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[i for i, _ in f] for f in found], kind), pa.array([[c for _, c in f] for f in found], kind)], names=["doc_id", "term", "tf"])
 
-    counted = materialise(docs.mapInArrow(hits, "doc_id long, term array<int>, tf array<int>"), "term-counts")
+    counted = materialise(docs.mapInArrow(released(hits), "doc_id long, term array<int>, tf array<int>"), "term-counts")
     frequency = np.zeros(len(kept))
     for row in counted.select(F.explode("term").alias("term")).groupBy("term").count().collect():
         frequency[row.term] = row["count"]
@@ -290,7 +293,7 @@ def score(docs: DataFrame, labels: DataFrame, train_where: str | None = None, ma
             for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 key = (*t, -1, *c)
                 if key not in known:
-                    if len(known) > 100_000:
+                    if len(known) >= KNOWN:
                         known.clear()
                     known[key] = shared.value.score(dict(zip(t, c, strict=True)))
                 out.append(known[key])
@@ -298,4 +301,4 @@ def score(docs: DataFrame, labels: DataFrame, train_where: str | None = None, ma
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in out], pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
 
-    return counted.mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id: long, label: int, similarity: double>>")
+    return counted.mapInArrow(released(run), "doc_id long, score double, evidence array<struct<doc_id: long, label: int, similarity: double>>")

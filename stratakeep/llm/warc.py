@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, new_path, shared_fs, ship, width
+from ._common import materialise, new_path, released, shared_fs, ship, width
 from .ziparchive import Reader, Writer
 
 MIN_PAYLOAD = 100
@@ -108,7 +108,7 @@ def write(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, z
         if parts:
             yield flush()
 
-    return materialise(records.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "archive string, records long, bytes long"), "archives")
+    return materialise(records.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(released(run), "archive string, records long, bytes long"), "archives")
 
 
 def index(archives: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def index(archives: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(lines), pa.string()), pa.array([start + x["offset"] for x in lines], pa.int64()), pa.array([x["length"] for x in lines], pa.int64())], names=["archive", "at", "size"])
 
     spread = archives.select("archive").repartition(width(archives.sparkSession), "archive")
-    return spread.mapInArrow(run, "archive string, at long, size long")
+    return spread.mapInArrow(released(run), "archive string, at long, size long")
 
 
 def read(archives: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -163,7 +163,7 @@ def read(archives: DataFrame, with_payload: bool = False) -> DataFrame:
         if file:
             file.close()
 
-    return ranges.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload)
+    return ranges.mapInArrow(released(run), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload)
 
 
 def archive_folder(spark) -> str:

@@ -52,3 +52,12 @@ def test_edges(spark):
     got = sorted((r.doc_id or 0, r.n_removed) for r in bytespans.remove(frame).collect())
     assert got == [(0, 0), (1, 119), (1, 119), (2, 0)]
     assert bytespans.remove(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("length", [30, 100])
+def test_both_methods_find_the_same(spark, length):
+    rows = [r for r in texts(7) if r[1] is not None]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    both = [{r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in bytespans.remove(frame, length, method=m).collect()} for m in ("anchors", "difference cover")]
+    assert both[0] == both[1]
+    assert {d: x[1:] for d, x in brute(rows, length).items()} == both[0]
