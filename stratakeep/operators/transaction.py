@@ -226,7 +226,7 @@ class Transaction:
             raise AnalysisError("schema mismatch")
         keys = keys.toDF(*schema.key).dropDuplicates()
         found = self._near(name, keys).join(keys, schema.key, "left_semi")
-        return self.stage(name, found.withColumn("deleted", F.lit(True)))
+        return self.stage(name, _tombstones(schema, found))
 
     def _one(self, name: str, row: list | tuple) -> DataFrame:
         schema = self.schema(name)
@@ -254,7 +254,7 @@ class Transaction:
 
     def delete(self, name: str, key: list | tuple) -> bool:
         found = self.view(name).where(self._key_is(name, key))
-        return bool(self.stage(name, found.withColumn("deleted", F.lit(True))))
+        return bool(self.stage(name, _tombstones(self.schema(name), found)))
 
     # reads by key
 
@@ -367,5 +367,13 @@ class Transaction:
 
     def _delete(self, stmt: A.Delete) -> int:
         with wrapping(self.storage.spark):
-            rows = self._matching(stmt.table, stmt.where)[0].withColumn("deleted", F.lit(True))
+            rows, schema, _, _ = self._matching(stmt.table, stmt.where)
+            rows = _tombstones(schema, rows)
         return self.stage(stmt.table, rows)
+
+
+def _tombstones(schema: Schema, rows: DataFrame) -> DataFrame:
+    """Deletions of rows: keys only, so nothing else is read or written for them."""
+    kinds = {f.name: f.dataType for f in schema.spark()}
+    columns = [F.col(c) if c in schema.key else F.lit(None).cast(kinds[c]).alias(c) for c in schema.stored]
+    return rows.select(*columns, F.lit(True).alias("deleted"))
