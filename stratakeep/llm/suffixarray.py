@@ -1,9 +1,9 @@
 """Repeated byte strings by a distributed difference-cover sort of suffixes.
 
-1. Sampled suffixes, those that start at 1 or 2 modulo 3 of their document, are named by their
-   first three bytes.
-2. Names are sorted in triples: the names of i, i + d and i + 2d, with d the bytes that a name spans
-   so far, are ranked in one distributed sort and give names of 3d bytes; so on until they span
+1. Sampled suffixes, those that start at 1 or 2 modulo 3 of their document, are named by the rank
+   of their first three words of seven bytes in one distributed sort.
+2. Names are sorted in triples in turn: the names of i, i + d and i + 2d, with d the bytes that a
+   name spans so far, are ranked the same way and give names of 3d bytes; so on until they span
    most of the string length, then once more with an overlap that makes it exact.  A sampled suffix
    whose name is its own alone repeats nowhere; it is left out from there on, with those that would
    span it, and so are suffixes that end before a name does.
@@ -85,21 +85,26 @@ def _lists(column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
         yield tuple(p[i:j] for p in parts)
 
 
-def _first(docs: DataFrame) -> DataFrame:
-    """Names of three bytes, in their own order."""
+def _first(docs: DataFrame, word: int) -> DataFrame:
+    """Triples of words of ``word`` bytes, straight from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = G.utf8(batch.column(1))
-            for k in range(len(ids)):
-                own = data[offsets[k] : offsets[k + 1]].astype(np.int64)
-                at = np.arange(max(0, len(own) - 2))
-                at = at[at % 3 > 0]
-                name = own[at] * 65536 + own[at + 1] * 256 + own[at + 2] + 1
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ids[k])), pa.array(at.astype(np.int32)), pa.array(name), pa.array(np.zeros(len(at), bool))], names=["doc", "at", "name", "alone"])
+            for i, j in G.slices(offsets):
+                own, end = data[offsets[i] : offsets[j]].astype(np.int64), offsets[i : j + 1] - offsets[i]
+                packed = np.zeros(max(0, len(own) - word + 1), np.int64)
+                for k in range(word):
+                    packed = packed * 256 + own[k : k + len(packed)]
+                pos = G.valid_starts(end, 3 * word)
+                doc = np.searchsorted(end, pos, "right") - 1
+                sampled = (pos - end[doc]) % 3 > 0
+                pos, doc = pos[sampled], doc[sampled]
+                words = [pa.array(packed[pos + k * word]) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i + doc]), pa.array((pos - end[doc]).astype(np.int32)), *words], names=["doc", "at", "a", "b", "c"])
 
-    return docs.select("doc", "text").mapInArrow(released(run), "doc long, at int, name long, alone boolean")
+    return docs.select("doc", "text").mapInArrow(released(run), _SAMPLES)
 
 
 def _triples(named: DataFrame, step: int, second: int = 0) -> DataFrame:
@@ -150,7 +155,8 @@ def repeated(docs: DataFrame, length: int) -> DataFrame:
     if length < 12:
         raise ValueError("strings of fewer than 12 bytes aren't served")
     ship(docs.sparkSession)
-    named, span = _first(docs), 3
+    word = min(7, (length - 2) // 3)
+    named, span = materialise(_rank(_first(docs, word)), "names"), 3 * word
     while 3 * span <= length - 2:
         named, span = materialise(_rank(_triples(named, span)), "names"), 3 * span
     more = (length - 2 - span) // 3 * 3  # an overlap that keeps the class modulo 3
