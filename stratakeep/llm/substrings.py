@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _grams as G
-from ._common import ship
+from ._common import released, ship
 from .repeats import Windows, per_document, repeated_windows
 
 WINDOW = 35
@@ -46,14 +46,15 @@ def _source(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
 
 
-def remove(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
+def remove(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", with_text: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_text, kept_sha256.
 
     ``kept_text`` is the words left, joined by one space; without ``with_text`` only its digest
-    comes back.
+    comes back.  ``keep`` names columns to carry along, which saves a join with the documents.
     """
     ship(docs.sparkSession)
-    source = _source(docs, doc_id, text)
+    carried = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
+    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"), *carried)
     spec = _spec(window)
     joined = per_document(source, repeated_windows(source.where("doc IS NOT NULL"), spec), spec)
 
@@ -62,10 +63,14 @@ def remove(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text:
             data, offsets = G.utf8(batch.column(1))
             starts, ends = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for i, j in G.slices(offsets):
-                yield _cut(batch.column(0).slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], starts[i:j], ends[i:j], with_text)
-
-    out = joined.select("doc", "text", "starts", "ends").mapInArrow(run, _OUT).withColumnRenamed("doc", "doc_id")
-    return out if with_text else out.drop("kept_text")
+                cut = _cut(batch.column(0).slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], starts[i:j], ends[i:j], with_text)
+                yield pa.RecordBatch.from_arrays([*cut.columns, *(c.slice(i, j - i) for c in batch.columns[4:])], names=[*cut.schema.names, *batch.schema.names[4:]])
+
+    names = [f"k{i}" for i in range(len(keep))]
+    schema = ", ".join([_OUT, *(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))])
+    out = joined.select("doc", "text", "starts", "ends", *names).mapInArrow(released(run), schema)
+    found = ["n_words", "n_removed", *(["kept_text"] if with_text else []), "kept_sha256"]
+    return out.select(F.col("doc").alias("doc_id"), *found, *[F.col(k).alias(c) for k, c in zip(names, keep, strict=True)])
 
 
 def _cut(ids: pa.Array, data: np.ndarray, offsets: np.ndarray, starts: list, ends: list, with_text: bool) -> pa.RecordBatch:
