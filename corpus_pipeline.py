@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratakeep.llm import minhash, mixing, sentencepiece, substrings, toxicity
-from stratakeep.llm._common import materialise, table
+from stratakeep.llm._common import materialise, scratch, table
 from stratakeep.llm.q_op2 import model_path
 from stratakeep.llm.q_op4 import HELD_OUT, THRESHOLD
 
@@ -27,8 +27,9 @@ TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.18, "es": 0.12}
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold."""
-    scored = toxicity.score(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"), f"NOT ({HELD_OUT})")
-    toxic = materialise(scored.where(F.col("score") >= THRESHOLD).select("doc_id").distinct(), "toxic")
+    with scratch(spark) as keep:
+        scored = toxicity.score(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"), f"NOT ({HELD_OUT})")
+        toxic = keep(materialise(scored.where(F.col("score") >= THRESHOLD).select("doc_id").distinct(), "toxic"))
     return docs.join(toxic, "doc_id", "left_anti").select(*COLUMNS)
 
 
@@ -40,13 +41,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words of repeated windows; documents of which nothing is left go."""
-    cut = substrings.remove(docs.select("doc_id", "text"))
-    changed = cut.where("n_removed > 0").select("doc_id", F.struct("kept_text").alias("cut")).groupBy("doc_id").agg(F.min("cut").alias("cut"))
-    joined = docs.join(materialise(changed, "cut"), "doc_id", "left").where("cut IS NULL OR cut.kept_text <> ''")
-    text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.col("cut.kept_text"))
-    chars = F.when(F.col("cut").isNull(), F.col("n_chars")).otherwise(F.char_length("cut.kept_text").cast("long"))
-    return joined.select("doc_id", text.alias("text"), "lang", "source", chars.alias("n_chars"))
+    """Texts without the words of repeated windows; a document of which nothing is left stays empty."""
+    cut = substrings.remove(docs, keep=("text", "lang", "source", "n_chars"))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    chars = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.select("doc_id", text.alias("text"), "lang", "source", chars.alias("n_chars"))
 
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
