@@ -10,7 +10,9 @@ templates with known main blocks.  ``fit`` takes other labelled pages just as we
 
 Edge cases: a null or empty html has the text ""; unclosed and stray tags, broken entities and
 missing ends are tolerated; pages of any length are read whole; a page whose blocks are all
-rejected has the text ""; rows that repeat give repeated results.
+rejected has the text ""; rows that repeat give repeated results.  Tags end where HTML ends them.
+As in HTML, a script, style, title, textarea, comment or quoted value without an end reaches to the
+end of the page; an iframe, math, noscript, object, select, svg or template without one is read on as text.
 """
 
 from __future__ import annotations
@@ -33,8 +35,13 @@ _RAW = frozenset("script style noscript template textarea title iframe object sv
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _P_ENDS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SAME = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table"}, "option": {"select"}}
-_TAG = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[.*?(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$))", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ENDS_PAGE = frozenset("script style title textarea".split())
+# an attribute as HTML reads it: a quote opens a value only right after "="
+_ATTRIBUTE = r"([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^ \t\n\f\r>\"'][^ \t\n\f\r>]*+)|(?=>)|\Z))?+"
+_ATTR = re.compile(_ATTRIBUTE)
+_TAG = re.compile(r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^ \t\n\f\r/>]*+)((?:[ \t\n\f\r/]++|" + re.sub(r"\((?!\?)", "(?:", _ATTRIBUTE) + r")*+)(?:>|\Z))", re.S)
+_SKIPPED = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<script(?:[ \t\n\f\r][^>]*[^/>])?>.*?(?:</script|\Z)|<(/?)(iframe|math|noscript|object|select|svg|template)(?=[ \t\n\f\r/>])([^>]*)", re.S | re.I | re.A)
+_WORDED = frozenset("class id role hidden style aria-hidden".split())
 _SPACE = re.compile(r"\s+")
 
 
@@ -45,6 +52,22 @@ class Block:
         self.text, self.path, self.words, self.linked, self.links = text, path, words, linked, links
 
 
+def _closed(page: str, at: int) -> dict[int, int]:
+    """Where each closed iframe, svg and so on from ``at`` on has its end tag, by the place of its start."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for m in _SKIPPED.finditer(page, at):
+        if not m[2]:
+            continue
+        starts = opened.setdefault(m[2].lower(), [])
+        if not m[1]:
+            if not m[3].rstrip().endswith("/"):
+                starts.append(m.start())
+        elif starts:
+            ends[starts.pop()] = m.start()
+    return ends
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order, with character references decoded and white space folded."""
     out: list[Block] = []
@@ -71,7 +94,7 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         linked = links = 0
 
-    at, lower = 0, None
+    at, lower, closed = 0, None, None
     while True:
         m = _TAG.search(page, at)
         if not m:
@@ -93,12 +116,18 @@ def blocks(page: str) -> list[Block]:
             continue
         if name not in _INLINE:
             flush()
-        if name in _RAW:
+        if name in _ENDS_PAGE:
             if lower is None:
                 lower = page.lower()
-            if not m[3].rstrip().endswith("/") or name in ("script", "style", "title", "textarea"):
-                end = lower.find(f"</{name}", at)
-                close = page.find(">", end) if end >= 0 else -1
+            end = lower.find(f"</{name}", at)
+            close = page.find(">", end) if end >= 0 else -1
+            at = close + 1 if close >= 0 else len(page)
+            continue
+        if name in _RAW:
+            if closed is None:
+                closed = _closed(page, m.start())
+            if m.start() in closed:
+                close = page.find(">", closed[m.start()])
                 at = close + 1 if close >= 0 else len(page)
             continue
         if name == "br" or name == "img":
@@ -109,7 +138,7 @@ def blocks(page: str) -> list[Block]:
             _imply(stack, name)
         if name == "a":
             depth, links = 1, links + 1
-        words = tuple(w for a in _ATTR.finditer(m[3]) for w in re.findall("[a-z]+", f"{a[1]} {a[2] or a[3] or a[4] or ''}".lower())) if m[3] else ()
+        words = tuple(w for a in _ATTR.finditer(m[3]) if a[1].lower() in _WORDED for w in re.findall("[a-z]+", f"{a[1]} {a[2] or a[3] or a[4] or ''}".lower())) if m[3] else ()
         stack.append((name, words))
     text(page[at:])
     flush()

@@ -57,3 +57,31 @@ def test_frame_keeps_rows_and_clashing_columns(spark):
     assert H.extract(frame.limit(0)).count() == 0
     chars = H.extract(frame).select(F.char_length("text").alias("n")).collect()
     assert max(r.n for r in chars) == len(H.main_text(PAGE, H.default_field()))
+
+
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ('<p class="a"">First sentence. He said "no" twice.</p><p>Second.</p>', ['First sentence. He said "no" twice.', "Second."]),
+        ("<p class=it's>First.</p><p>It's third.</p>", ["First.", "It's third."]),
+        ("<p \"x' y>First.</p><p>Second.</p></p '><p>Third.</p>", ["First.", "Second.", "Third."]),
+        ("<p title = '>' data=\"a>b\" class=>First.</p><p =\">Second.</p>", ["First.", "Second."]),
+        ("<!--><p>First.</p><!-- no --!><p>Second.</p><![CDATA[x><p>Third.</p>", ["First.", "Second.", "Third."]),
+    ],
+)
+def test_tags_end_where_html_ends_them(page, texts):
+    assert [b.text for b in H.blocks(page)] == texts
+
+
+@pytest.mark.parametrize("name", ["svg", "math", "noscript", "object", "template", "iframe", "select"])
+def test_an_unclosed_element_does_not_cut_the_page(name):
+    texts = lambda page: [b.text for b in H.blocks(page)]
+    assert texts(f"<p>A</p><{name} x='y'><p>B</p><p>C</p>") == ["A", "B", "C"]
+    assert texts(f"<p>A</p><{name}><p>B</p><{name}>no</{name.upper()} ><p>C</p>") == ["A", "B", "C"]
+    assert texts(f"<{name}>no<{name}>no</{name}>no</{name}><p>A</p><{name}/><p>B</p>") == ["A", "B"]
+    assert texts(f"<{name}>no<!-- <{name}> --><script>'<{name}>'</script></{name}><p>A</p>") == ["A"]
+
+
+def test_only_whole_attribute_names_give_words():
+    (block,) = H.blocks("<div data-id=nav alt='class=menu' CLASS=Story id='a-1'>Text</div>")
+    assert block.words == ("class", "story", "id", "a")
