@@ -36,6 +36,8 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em f
 _P_ENDS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SAME = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table"}, "option": {"select"}}
 _ENDS_PAGE = frozenset("script style title textarea".split())
+# sought in the page itself: lower() may change the length and so the offsets
+_ENDS = {name: re.compile(rf"</{name}(?=[ \t\n\f\r/>])", re.I | re.A) for name in _ENDS_PAGE}
 # an attribute as HTML reads it: a quote opens a value only right after "="
 _ATTRIBUTE = r"([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^ \t\n\f\r>\"'][^ \t\n\f\r>]*+)|(?=>)|\Z))?+"
 _ATTR = re.compile(_ATTRIBUTE)
@@ -94,7 +96,7 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         linked = links = 0
 
-    at, lower, closed = 0, None, None
+    at, closed = 0, None
     while True:
         m = _TAG.search(page, at)
         if not m:
@@ -117,10 +119,8 @@ def blocks(page: str) -> list[Block]:
         if name not in _INLINE:
             flush()
         if name in _ENDS_PAGE:
-            if lower is None:
-                lower = page.lower()
-            end = lower.find(f"</{name}", at)
-            close = page.find(">", end) if end >= 0 else -1
+            end = _ENDS[name].search(page, at)
+            close = page.find(">", end.start()) if end else -1
             at = close + 1 if close >= 0 else len(page)
             continue
         if name in _RAW:

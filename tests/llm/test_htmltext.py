@@ -85,3 +85,14 @@ def test_an_unclosed_element_does_not_cut_the_page(name):
 def test_only_whole_attribute_names_give_words():
     (block,) = H.blocks("<div data-id=nav alt='class=menu' CLASS=Story id='a-1'>Text</div>")
     assert block.words == ("class", "story", "id", "a")
+
+
+@pytest.mark.parametrize("name", ["script", "STYLE", "title", "Textarea", "svg"])
+def test_letters_that_lower_to_two_do_not_shift_the_end(name):
+    page = f"<p>{'İ' * 40}</p><{name}>no</{name.swapcase()}\n><p>Real text.</p><p>Second</p>"
+    assert [b.text for b in H.blocks(page)] == ["İ" * 40, "Real text.", "Second"]
+    assert [b.text for b in H.blocks(f"{'İ' * 99}<{name}>no</{name}>end")] == ["İ" * 99, "end"]
+
+
+def test_only_the_whole_name_ends_a_script():
+    assert [b.text for b in H.blocks("<script>a</scripty>b</ſcript>c</SCRIPT>d")] == ["d"]
