@@ -1,10 +1,11 @@
-"""Removal of repeated word windows: relative factoring of every document against indexed blocks.
-
-Reference blocks are the stretches around the anchors of all documents, indexed by anchor and
-content (``repeats``).  A document is factored greedily: where a whole block is found elsewhere it
-is one factor; at the boundaries of factors, where blocks differ, the parse goes on window by
-window, so that a window which straddles two factors is compared too.  Touching and overlapping
-factors join to duplicate spans; none is shorter than the window.
+"""Removal of repeated word windows: anchored windows of all documents grouped by content.
+
+This stands in for relative Lempel-Ziv factoring, which isn't built here: there is no reference
+index, no greedy longest factor and no factor length.  Every window of words is named by its anchor
+(``repeats``), blocks around one anchor are grouped by fingerprint, and where blocks of one anchor
+differ the grouping goes down to pieces and single windows.  A window counts as repeated if its
+fingerprint does; the words themselves aren't compared again.  Touching and overlapping windows
+join to duplicate spans; none is shorter than the window.
 
 Edge cases: a null or wordless text has no words and loses none; a document shorter than the
 window loses nothing; rows that repeat a doc_id are taken as one document (give other texts
