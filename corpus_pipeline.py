@@ -55,10 +55,10 @@ def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, with the digests of ids and decoded text."""
-    encoded = sentencepiece.encode(docs, model_path(), outputs=("ids", "decoded"), keep=["doc_id", "lang", "source"])
+    """Ids of every text and their byte spans, with the digests of ids and decoded text."""
+    encoded = sentencepiece.encode(docs, model_path(), outputs=("ids", "begin", "end", "decoded"), keep=["doc_id", "lang", "source"])
     ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return encoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encoded.select("doc_id", "lang", "source", "ids", "begin", "end", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -3,9 +3,11 @@
 Normalisation walks the compiled character map (a double-array trie over UTF-8) with
 longest-prefix matches and notes, for every byte that it emits, the source byte it came from.
 White space is escaped, the dummy prefix added and surplus space dropped as the model's normaliser
-asks.  The normalised text is then cut where no piece of the vocabulary can cross, the stretches
-are merged into pieces, and every piece is projected through the alignment onto a byte span of the
-original text.
+asks.  Ids come from the ``sentencepiece`` library, which is given the raw text: cut where no piece
+of the vocabulary can cross, each different stretch once, if the model allows it, else whole texts.
+Every piece is laid on the normalised text and projected through the alignment onto a byte span of
+the original text.  Models without a character map, whose normalised text differs in spaces only,
+have the spans of a whole batch computed at once; others go document by document.
 
 Edge cases: a null text counts as empty; an empty text has no ids and no spans; texts of any
 length are encoded whole; repeated rows give repeated results; columns of the input are kept and
@@ -217,6 +219,9 @@ class Encoder:
             elif number == 3:
                 spec = NormalizerSpec.parse(value)
         self.normalizer = Normalizer(spec, tuple(protected))
+        #: Bytes of each piece in the normalised text; unknown ones have no length of their own.
+        self.sizes = np.array([1 if kind == 6 else 0 if kind == 2 else len(p.encode()) for p, kind in zip(self.pieces, self.kinds)], np.int64)
+        self.unknown = np.array([kind == 2 for kind in self.kinds], bool)
         #: Stretches "spaces, then others" are independent if no piece has a space after another.
         self.cuts = (
             self.normalizer.plain and spec.escape_whitespaces and spec.add_dummy_prefix and not spec.remove_extra_whitespaces and not suffix
@@ -278,6 +283,29 @@ class Encoder:
             begin, end = self._around_unknown(normalized, ids)
         return [align[b] for b in begin], [align[e] for e in end]
 
+    def spans_of(self, texts: list[str], ids: list[list[int]]) -> tuple[pa.Array, pa.Array]:
+        """``spans`` of many texts, as two arrays of lists."""
+        counts = np.array([len(x) for x in ids], np.int64)
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(counts.sum()))
+        if not self.cuts or self.unknown[flat].any():
+            both = [self.spans(t, x) for t, x in zip(texts, ids, strict=True)]
+            return _lists([x[0] for x in both]), _lists([x[1] for x in both])
+        raws = [t.encode() for t in texts]
+        lengths = np.array([len(r) + 2 for r in raws], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        # the prefix before each text and a byte for its end
+        data = np.frombuffer(b"".join(b" " + r + b"." for r in raws), np.uint8)
+        repeat = np.where(data == 32, len(SPACE.encode()), 1)
+        source = np.maximum(np.arange(len(data)) - np.repeat(starts, lengths) - 1, 0).astype(np.int32)
+        align = np.repeat(source, repeat)
+        size = self.sizes[flat]
+        stop = np.concatenate(([0], np.cumsum(size)))
+        offsets = np.concatenate(([0], np.cumsum(counts)))
+        first = (np.cumsum(repeat) - repeat)[starts]
+        end = stop[1:] + np.repeat(first - stop[offsets[:-1]], counts)
+        at = pa.array(offsets.astype(np.int32))
+        return pa.ListArray.from_arrays(at, pa.array(align[end - size])), pa.ListArray.from_arrays(at, pa.array(align[end]))
+
     def _around_unknown(self, normalized: bytes, ids: list[int]) -> tuple[list[int], list[int]]:
         proto = self.pieces
         begin, end, at = [], [], 0
@@ -342,11 +370,10 @@ def encode(df: DataFrame, model_path: str, text: str = "text", outputs: tuple[st
                 ids = model.encode_ids(texts)
                 made = {"ids": ids}
                 if "begin" in outputs or "end" in outputs:
-                    both = [model.spans(t, x) for t, x in zip(texts, ids, strict=True)]
-                    made |= {"begin": [x[0] for x in both], "end": [x[1] for x in both]}
+                    made["begin"], made["end"] = model.spans_of(texts, ids)
                 if "decoded" in outputs:
                     made["decoded"] = model.decode(ids)
-                columns = [pa.array(made[o], pa.string()) if o == "decoded" else _lists(made[o]) for o in outputs]
+                columns = [pa.array(made[o], pa.string()) if o == "decoded" else _lists(made[o]) if o == "ids" else made[o] for o in outputs]
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + columns, names=names)
 
     mapped = source.mapInArrow(released(run), inner)

@@ -79,3 +79,13 @@ def test_null_rows_pass(spark, tmp_path):
     for name, stage in P.STAGES:
         docs = P.materialise(stage(spark, docs, str(tmp_path)), f"null-{name}")
     assert {r.doc_id for r in docs.collect()} == {None, 1, 2}
+
+
+def test_encoding_keeps_the_span_of_every_id(stages):
+    from stratakeep.llm import sentencepiece
+
+    before, after = stages["sentencepiece"]
+    model, got = sentencepiece.Encoder(P.model_path()), rows(after)
+    for d, r in rows(before).items():
+        begin, end = model.spans(r.text or "", got[d].ids)
+        assert (got[d].begin, got[d].end) == (list(begin), list(end))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratakeep.llm import sentencepiece as S
-from stratakeep.llm.q_op2 import digests, model_path
+from stratakeep.llm.q_op2 import digests, model_path, op2_sentencepiece
 
 
 @pytest.fixture(scope="module")
@@ -132,3 +132,24 @@ def test_frames(spark, library):
     back = S.decode(S.encode(frame, model_path()).withColumn("ids", F.when(F.col("doc_id") > 1, F.col("ids"))), model_path())
     assert {r.doc_id: r.decoded for r in back.collect()} == {i: library.decode(library.encode(t or "")) if i > 1 else "" for i, t, _, _ in rows}
     assert S.encode(frame.limit(0), model_path()).count() == 0
+
+
+def test_spans_of_a_batch_are_those_of_each_text():
+    rnd = random.Random(3)
+    alphabet = "abcdeé  ▁日😀\t\n.,XYZ0123"
+    texts = TEXTS + ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(60))) for _ in range(300)]
+    model = S.Encoder(model_path())
+    ids = model.encode_ids(texts)
+    begin, end = model.spans_of(texts, ids)
+    assert list(zip(begin.to_pylist(), end.to_pylist(), strict=True)) == [tuple(map(list, model.spans(t, x))) for t, x in zip(texts, ids, strict=True)]
+    assert [len(x) for x in model.spans_of([], [])] == [0, 0] and model.spans_of([""], [[]])[0].to_pylist() == [[]]
+
+
+def test_the_query_gives_a_span_for_every_id(spark):
+    sf = "/root/testdata/sf0.001"
+    model = S.Encoder(model_path())
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in op2_sentencepiece(spark, sf).collect():
+        (ids,) = model.encode_ids([texts[r.doc_id]])
+        begin, end = model.spans(texts[r.doc_id], ids)
+        assert (r.begin, r.end, r.n_tokens) == (list(begin), list(end), len(ids))
