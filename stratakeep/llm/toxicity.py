@@ -34,9 +34,6 @@ MAX_EXAMPLES = 20_000
 MAX_TERMS = 4096
 LEAST_Z = 5.0
 LEAST_DOCS = 4
-#: A term has to stand in this share of the toxic examples, and be toxic in this share of its own.
-LEAST_SHARE = 0.01
-LEAST_PURITY = 0.5
 NEIGHBOURS = 16
 BLOCK = 64
 SMOOTHING = 0.5
@@ -128,11 +125,10 @@ class BlockMaxIndex:
         term, weight = term[order], weight[order]
         bound = np.append(np.cumsum((weight * self.term_max[term])[::-1])[::-1], 0.0)  # of this and later terms
         score = np.zeros(self.size)
-        seen = np.zeros(0, np.int64)
+        seen = np.zeros(self.size, bool)
         for i, (t, w) in enumerate(zip(term, weight, strict=True)):
             a, b = self.start[t], self.start[t + 1]
             live = score[seen]
-            live = live[seen != without] if without >= 0 else live
             floor = np.partition(live, len(live) - k)[len(live) - k] if len(live) >= k else 0.0
             if bound[i] < floor - 1e-12:  # new rows can't reach the k nearest: only lift known ones
                 opened = self.block_max[t] > 0
@@ -143,14 +139,15 @@ class BlockMaxIndex:
             opened = w * self.block_max[t] + bound[i + 1] >= floor - 1e-12
             rows, weights = self._blocks(a, b, opened)
             score[rows] += w * weights
-            seen = np.union1d(seen, rows)
+            seen[rows] = True
+            if without >= 0:
+                seen[without] = False
             if not opened.all():  # known rows in the closed blocks still gain
                 rows, weights = self._blocks(a, b, ~opened)
-                known = np.isin(rows, seen)
+                known = seen[rows]
                 score[rows[known]] += w * weights[known]
-        if without >= 0:
-            seen = seen[seen != without]
-        best = seen[np.lexsort((seen, -score[seen]))][:k]
+        seen = np.flatnonzero(seen)
+        best = seen[np.argsort(-score[seen], kind="stable")][:k]
         return best, score[best]
 
     def _blocks(self, a: int, b: int, opened: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,7 +245,7 @@ def fit_terms(examples: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
     counts = examples.select("text", "toxic").mapInArrow(released(run), "term string, docs long, toxic long").groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
     rate = F.col("docs") / n
     z = (F.col("toxic") / t - (F.col("docs") - F.col("toxic")) / (n - t)) / F.sqrt(rate * (1 - rate) * (1 / t + 1 / (n - t)))
-    enough = (F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * t)) & (F.col("toxic") >= LEAST_PURITY * F.col("docs")) & (F.col("docs") < n)
+    enough = (F.col("toxic") >= LEAST_DOCS) & (F.col("docs") < n)
     best = counts.where(enough).withColumn("z", z).where(F.col("z") >= LEAST_Z)
     return [r.term for r in best.orderBy(F.desc("z"), "term").limit(max_terms).collect()]
 

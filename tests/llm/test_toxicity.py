@@ -93,3 +93,11 @@ def test_edge_cases(spark):
     assert {r.score for r in X.score(docs, marks.limit(0)).collect()} == {0.0}
     assert X.score(docs.limit(0), marks).count() == 0
     assert X.score(docs, marks.where("toxic = 1")).count() == len(got)
+
+
+def test_rare_and_mixed_terms_are_kept(spark):
+    # in 7 of 800 toxic and no clean example; in 80 toxic and 120 of 3,200 clean ones
+    rows = [("vile " * (i < 7) + "bad " * (i < 80) + "x", 1) for i in range(800)] + [("bad " * (i < 120) + "x", 0) for i in range(3200)]
+    examples = spark.createDataFrame(rows, "text string, toxic int")
+    assert {"vile", "bad"} <= set(X.fit_terms(examples)) and "x" not in X.fit_terms(examples)
+    assert len(X.fit_terms(examples, 1)) == 1
