@@ -38,7 +38,7 @@ DEGREE = 10
 ROWS_PER_PARTITION = 2048
 MAX_PARTITIONS = 256
 HIDDEN = 64
-TARGET = 0.95
+TARGET = 0.97
 BLOCK = 4096
 
 

@@ -43,3 +43,8 @@ def test_edges(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in N.search(frame, F.col("id") % 50 == 0).distinct().collect())
     assert got == [(0, 1, 7, 1.0), (0, 2, 50, 0.0), (50, 1, 0, 0.0), (50, 2, 7, 0.0)]
     assert N.search(frame.limit(0), F.col("id") % 50 == 0).count() == 0
+
+
+def test_probes_are_set_for_97_of_100_neighbours():
+    x = np.random.default_rng(2).normal(size=(2000, 16))
+    assert N.fit_router(x, 20)[1] == N.fit_router(x, 20, 0.97)[1] > N.fit_router(x, 20, 0.9)[1]
