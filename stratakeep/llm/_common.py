@@ -163,3 +163,24 @@ def _release() -> None:
 
 def empty_if_null(column: str):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+#: Rows of one key that meet in one task of ``spread_join``.
+ROWS_OF_A_KEY = 1000
+#: Keys with more rows than that, up to which they are sent to every executor.
+BROADCAST_KEYS = 200_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """Inner join on ``keys`` where ``left`` may have any number of rows of one key.
+
+    A key with more than ``ROWS_OF_A_KEY`` rows is dealt out by a hash of column ``by``, and its rows
+    on the right are repeated once for each share, so no task gets more than a share.
+    """
+    hot = left.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > ROWS_OF_A_KEY)
+    hot = materialise(hot.select(*keys, F.ceil(F.col("n") / ROWS_OF_A_KEY).alias("ways")), "hot-keys")
+    shown = F.broadcast(hot) if hot.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else hot
+    ways = F.coalesce("ways", F.lit(1))
+    dealt = left.join(shown, keys, "left").withColumn("share", F.pmod(F.xxhash64(by), ways)).drop("ways")
+    copies = right.join(shown, keys, "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), ways - 1))).drop("ways")
+    return dealt.join(copies, [*keys, "share"]).drop("share")

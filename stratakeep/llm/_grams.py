@@ -1,13 +1,16 @@
 """Vectorised text kernels over Arrow string buffers: words, k-grams, winnowed anchors.
 
 Everything works on the UTF-8 bytes of a slice of documents, so no Python object is made per
-word.  Fingerprints are prefix sums of randomised byte values times powers of an odd base modulo
-2**64; equal byte strings get equal fingerprints wherever they stand.  Where a decision rests on a
-fingerprint alone, two independent ones (128 bits) are compared.
+word.  Fingerprints depend on content alone: eight bytes at a time are packed into a number, which
+is exact, and numbers are chained by ``mix``, a bijection of 64 bits that is no polynomial, so that
+strings built to cancel out under sums of powers (Thue-Morse words, say) differ here.  Two families
+with keys of their own are independent; where a decision rests on fingerprints alone, both are
+compared (128 bits).  ``names`` gives exact numbers in place of fingerprints.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,67 +22,108 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Longer words are hashed one by one.
+LONG_WORD = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit (two multiply-xorshift rounds)."""
     x = x ^ (x >> U64(30))
-    x = x * U64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> U64(27))
-    x = x * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(27)
+    x *= U64(0x94D049BB133111EB)
+    x ^= x >> U64(31)
+    return x
 
 
-class Base:
-    """An odd base with tables of its powers and their inverses, grown on demand."""
+class Family:
+    """One keyed family of fingerprints of byte strings and of strings of numbers."""
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
-        self.base = int(rng.integers(1 << 62, dtype=np.uint64)) * 2 + 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.bytes = rng.integers(1, 1 << 63, size=256, dtype=np.uint64) * U64(2) + U64(1)
-        self._up = np.ones(1, U64)
-        self._down = np.ones(1, U64)
-
-    def tables(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._up) < n:
-            size = 1 << max(18, (n - 1).bit_length())
-            self._up = _powers(self.base, size)
-            self._down = _powers(self.inverse, size)
-        return self._up[:n], self._down[:n]
-
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        up, _ = self.tables(max(1, len(values)))
-        out = np.zeros(len(values) + 1, U64)
-        np.cumsum(values * up[: len(values)], out=out[1:])
+        self.key, self.by, self.start = (U64(int(x)) for x in rng.integers(1 << 62, size=3, dtype=np.uint64) * U64(2) + U64(1))
+        self.salt = int(self.key).to_bytes(8, "little")
+
+    def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Fingerprint of two neighbouring runs from theirs; which is first matters."""
+        return mix(left * self.by + (right ^ self.key))
+
+    def runs(self, values: np.ndarray, size: int) -> np.ndarray:
+        """Fingerprint of the ``size`` numbers (a power of two) from each position on."""
+        out, width = mix(values ^ self.start), 1
+        while width < size:
+            out = self.join(out[: max(0, len(out) - width)], out[width:])
+            width *= 2
         return out
 
-    def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        _, down = self.tables(len(prefix))
-        return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U64))
+    def grams(self, values: np.ndarray, k: int) -> np.ndarray:
+        """Fingerprint of the k numbers from each position on (len - k + 1 of them)."""
+        if len(values) < k:
+            return np.zeros(0, U64)
+        run = self.runs(values, 1 << (k.bit_length() - 1))
+        return run if k & (k - 1) == 0 else self.join(run[: len(values) - k + 1], run[len(run) - (len(values) - k + 1) :])
 
-    def grams(self, prefix: np.ndarray, k: int) -> np.ndarray:
-        """Fingerprint of the k values from each position on (len - k + 1 of them)."""
-        n = len(prefix) - k
-        if n <= 0:
+    def byte_grams(self, data: np.ndarray, k: int) -> np.ndarray:
+        """Fingerprint of the k bytes from each position on (len - k + 1 of them)."""
+        if len(data) < k:
             return np.zeros(0, U64)
-        _, down = self.tables(len(prefix))
-        return mix((prefix[k:] - prefix[:n]) * down[:n])
+        eight = packed(data)
+        if k < 8:
+            return mix((eight[: len(data) - k + 1] & MASKS[k]) ^ self.start)
+        # runs of eight bytes, eight apart, and one at the end where k is no multiple
+        out, width = mix(eight[: len(data) - 7] ^ self.start), 8
+        while 2 * width <= k:
+            out = self.join(out[: max(0, len(out) - width)], out[width:])
+            width *= 2
+        n = len(data) - k + 1
+        return out if width == k else self.join(out[:n], out[k - width : k - width + n])
+
+    def spans(self, runs: np.ndarray, size: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Fingerprint of [start, end) for spans of ``size`` values at least, from ``runs`` of so
+        many: runs side by side, the last one flush with the end."""
+        length = (end - start).astype(np.int64)
+        out = mix(length.astype(U64) ^ self.start)
+        at, todo = start.astype(np.int64), np.arange(len(out))
+        while len(todo):
+            last = end[todo] - at[todo] <= size
+            place = np.where(last, end[todo] - size, at[todo])
+            out[todo] = self.join(out[todo], runs[place])
+            at[todo] += size
+            todo = todo[~last]
+        return out
+
+    def words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Fingerprint of each byte string [start, end)."""
+        length = end - start
+        out = mix(length.astype(U64) ^ self.start)
+        eight = packed(data)
+        todo = np.flatnonzero(length <= LONG_WORD)
+        at, left = start[todo], length[todo]
+        while len(todo):
+            out[todo] = self.join(out[todo], eight[at] & MASKS[np.minimum(left, 8)])
+            more = left > 8
+            todo, at, left = todo[more], at[more] + 8, left[more] - 8
+        for i in np.flatnonzero(length > LONG_WORD):
+            digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=self.salt).digest()
+            out[i] = U64(int.from_bytes(digest, "little"))
+        return out
+
 
+#: The first k bytes of eight.
+MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, U64)
-    filled = 1
-    while filled < n:
-        step = U64(pow(base, filled, 1 << 64))
-        more = min(filled, n - filled)
-        out[filled : filled + more] = out[:more] * step
-        filled += more
-    return out
 
+def packed(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number; zeros follow the data."""
+    padded = np.zeros((len(data) // 8 + 2) * 8 + 8, np.uint8)
+    padded[: len(data)] = data
+    out = np.empty((len(data) // 8 + 2, 8), U64)
+    for r in range(8):
+        out[:, r] = padded[r : r + 8 * len(out)].view("<u8")
+    return out.ravel()[: len(data) + 1]
 
-BASES = (Base(11), Base(12))
-WORD_BASES = (Base(21), Base(22))
+
+FIRST, SECOND = Family(11), Family(12)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,17 +175,31 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def fingerprints(self, which: int = 0) -> np.ndarray:
-        base = BASES[which]
-        prefix = base.prefix(base.bytes[self.data])
-        return base.spans(prefix, self.start, self.end)
+    def fingerprints(self, family: Family = FIRST) -> np.ndarray:
+        return family.words(self.data, self.start, self.end)
+
+    def names(self) -> np.ndarray:
+        """A number for each word, equal for equal words only."""
+        size = self.end - self.start
+        at = np.concatenate(([0], np.cumsum(size)))
+        inside = np.repeat(self.start - at[:-1], size) + np.arange(at[-1])
+        words = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(self.data[inside]))])
+        return words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
 
+def gram_names(names: np.ndarray, k: int) -> np.ndarray:
+    """A number for the k numbers from each position on, equal for equal ones only.
 
-def grams_within(values: np.ndarray, doc_start: np.ndarray, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Positions whose k-gram stays in its document, and the fingerprints of these k-grams."""
-    base = WORD_BASES[which]
-    grams = base.grams(base.prefix(values), k)
-    return valid_starts(doc_start, k), grams
+    Names of two runs are sorted as a pair and numbered anew, so nothing is hashed: runs of 1, 2,
+    4, ... up to k, the last one overlapping.
+    """
+    out, width = names, 1
+    while width < k and len(out):
+        step = min(width, k - width)
+        pair = (out[: max(0, len(out) - step)] << 32) | out[step:]
+        out = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+        width += step
+    return out if width == k else np.zeros(0, np.int64)
 
 
 def valid_starts(doc_start: np.ndarray, k: int) -> np.ndarray:

@@ -19,6 +19,7 @@ Hot groups therefore give one pair a member; no cap or sample is applied anywher
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _grams as G
-from ._common import materialise, released, scratch, ship
+from ._common import materialise, released, scratch, ship, spread_join
 from .components import merge
 
 PERMUTATIONS = 64
@@ -48,24 +49,30 @@ _XOR = _rng.integers(1 << 63, size=PERMUTATIONS, dtype=np.uint64) * G.U64(2) + G
 _MUL = _rng.integers(1 << 63, size=PERMUTATIONS, dtype=np.uint64) * G.U64(2) + G.U64(1)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle fingerprints of each document, concatenated, and their offsets.
+def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingles of each document, concatenated, and their offsets.
 
-    A-Z count as a-z.  With fewer words than ``size`` the whole sequence is the one shingle;
-    without words there is none.
+    They are fingerprints, or with ``exact`` numbers that only equal word sequences of these
+    documents share.  A-Z count as a-z.  With fewer words than ``size`` the whole sequence is the one
+    shingle; without words there is none.
     """
     words = G.Words(data, offsets, lower=True)
-    prints = words.fingerprints()
-    at, grams = G.grams_within(prints, words.doc_start, size)
-    doc = words.doc[at]
-    value = grams[at]
     counts = np.diff(words.doc_start)
+    at = G.valid_starts(words.doc_start, size)
     short = np.flatnonzero((counts > 0) & (counts < size))
-    if len(short):
-        base = G.WORD_BASES[0]
-        prefix = base.prefix(prints)
-        whole = base.spans(prefix, words.doc_start[short], words.doc_start[short + 1])
-        doc, value = np.concatenate((doc, short)), np.concatenate((value, whole))
+    if exact:
+        names = words.names()
+        value = G.gram_names(names, size)[at]
+        whole = np.zeros(len(short), np.int64)
+        for k in range(1, size):  # sequences of k words: below zero, k modulo size
+            own = counts[short] == k
+            if own.any():
+                whole[own] = -(G.gram_names(names, k)[words.doc_start[short[own]]] * size + k)
+    else:
+        prints = words.fingerprints()
+        value = G.FIRST.grams(prints, size)[at]
+        whole = G.FIRST.spans(G.FIRST.runs(prints, 1), 1, words.doc_start[short], words.doc_start[short + 1])
+    doc, value = np.concatenate((words.doc[at], short)), np.concatenate((value, whole))
     order = np.lexsort((value, doc))
     doc, value = doc[order], value[order]
     new = np.ones(len(doc), bool)
@@ -74,6 +81,19 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tupl
     return value, np.searchsorted(doc, np.arange(words.n_docs + 1))
 
 
+def contents(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Digest of each document's words (two numbers): equal for equal word sequences."""
+    words = G.Words(data, offsets, lower=True)
+    size = words.end - words.start + 1
+    stop = np.cumsum(size)
+    at = np.repeat(words.start - (stop - size), size) + np.arange(int(size.sum()))
+    plain = np.append(words.data, np.uint8(32))[at]
+    plain[stop - 1] = 32
+    bound = np.concatenate(([0], stop))[words.doc_start]
+    digests = [hashlib.blake2b(plain[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bound[:-1], bound[1:], strict=True)]
+    return np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+
+
 def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Min-max signatures of non-empty sets, one row of 2 * PERMUTATIONS values each."""
     out = np.empty((len(offsets) - 1, 2 * PERMUTATIONS), np.uint64)
@@ -85,18 +105,11 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fold(values: np.ndarray, offsets: np.ndarray, seed: int) -> np.ndarray:
-    """Order-free fingerprint of each set."""
-    prefix = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(G.mix(values + G.U64(seed)), out=prefix[1:])
-    return G.mix(prefix[offsets[1:]] - prefix[offsets[:-1]])
-
-
-_SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sig binary"
+_SKETCH = "doc_id long, n_shingles long, words_a long, words_b long, bands array<long>, sig binary"
 
 
 def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: size and fingerprint of its set, bucket names, a 16-bit signature."""
+    """One row a document: size of its set, digest of its words, bucket names, a 16-bit signature."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +122,7 @@ def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                 full = np.flatnonzero(n)
                 bands = np.zeros((j - i, BANDS), np.int64)
                 sig = np.zeros((j - i, 2 * PERMUTATIONS), np.uint16)
-                set_a, set_b = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64)
+                digest = contents(part, offsets[i : j + 1] - offsets[i])
                 if len(full):
                     tight = np.append(at[full], len(values))
                     s = signatures(values, tight)
@@ -119,17 +132,16 @@ def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                         name = G.mix(name * G.U64(0x9E3779B97F4A7C15) + grouped[:, :, r])
                     bands[full] = G.signed(name)
                     sig[full] = (G.mix(s) >> G.U64(48)).astype(np.uint16)
-                    set_a[full], set_b[full] = G.signed(_fold(values, tight, 1)), G.signed(_fold(values, tight, 2))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
                         pa.array(n.astype(np.int64)),
-                        pa.array(set_a),
-                        pa.array(set_b),
+                        pa.array(digest[:, 0]),
+                        pa.array(digest[:, 1]),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(bands.ravel())),
                         pa.array([x.tobytes() for x in sig], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sig"],
+                    names=["doc_id", "n_shingles", "words_a", "words_b", "bands", "sig"],
                 )
 
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(released(run), _SKETCH)
@@ -147,7 +159,7 @@ def _estimated(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(near), batch.column(1).take(near), pa.array(share).take(near)], names=["a", "b", "estimate"])
 
     of = lambda side: sigs.select(F.col("rep").alias(side), F.col("sig").alias(f"{side}_sig"))
-    joined = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_sig", "b_sig")
+    joined = spread_join(pairs.join(of("b"), "b"), of("a"), ["a"], "b").select("a", "b", "a_sig", "b_sig")
     return joined.mapInArrow(released(run), "a long, b long, estimate double")
 
 
@@ -160,16 +172,19 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = materialise(docs.join(ends, "doc_id", "left_semi"), "pair-texts")
     of = lambda side: texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"{side}_text"))
-    joined = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+    joined = spread_join(pairs.select("a", "b").join(of("b"), "b"), of("a"), ["a"], "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides = [G.utf8(batch.column(k)) for k in (2, 3)]
             for i, j in G.slices(sides[0][1] + sides[1][1]):
-                (left, l_at), (right, r_at) = (shingles(data[at[i] : at[j]], at[i : j + 1] - at[i]) for data, at in sides)
-                n, l_size, r_size = j - i, np.diff(l_at), np.diff(r_at)
+                n = j - i
+                data = np.concatenate([d[at[i] : at[j]] for d, at in sides])
+                half = sides[0][1][j] - sides[0][1][i]
+                both_at = np.concatenate([sides[0][1][i : j + 1] - sides[0][1][i], half + sides[1][1][i + 1 : j + 1] - sides[1][1][i]])
+                value, at = shingles(data, both_at, exact=True)
+                l_size, r_size = np.diff(at)[:n], np.diff(at)[n:]
                 row = np.concatenate((np.repeat(np.arange(n), l_size), np.repeat(np.arange(n), r_size)))
-                value = np.concatenate((left, right))
                 order = np.lexsort((value, row))
                 row, value = row[order], value[order]
                 same = np.flatnonzero((row[1:] == row[:-1]) & (value[1:] == value[:-1]))
@@ -237,40 +252,27 @@ def _across(buckets: DataFrame, reps: DataFrame, docs: DataFrame, roots: DataFra
     is_main, pick = F.col("root") == F.col("main"), F.xxhash64("rep")
     own = F.when(is_main, F.pmod(pick, F.col("ahead").cast("long"))).otherwise(F.col("ahead") + F.pmod(pick, F.col("behind").cast("long"))).cast("int")
     inside = materialise(inside.join(of_family, "family").select("rep", "family", "root", own.alias("own"), F.when(is_main, F.col("ahead")).otherwise(0).alias("from"), (F.col("ahead") + F.col("behind")).alias("blocks")), "blocks")
-    sets = materialise(_shingle_sets(docs, inside.select("rep")).join(inside, "rep"), "family-sets")
+    texts = materialise(docs.select(F.col("doc_id").alias("rep"), "text").join(inside, "rep"), "family-texts")
     # any other two blocks meet once, and a block meets itself: rows go to (own, j) and (j, own)
-    rows = sets.withColumn("other", F.explode(F.sequence(F.col("from"), F.col("blocks") - 1)))
-    rows = rows.select("family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "root", "shingles")
+    rows = texts.withColumn("other", F.explode(F.sequence(F.col("from"), F.col("blocks") - 1)))
+    rows = rows.select("family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "root", "text")
     return rows.groupBy("family", "x", "y").applyInArrow(lambda key, table: _links(key, table, percent), "a long, b long")
 
 
-def _shingle_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """rep and shingles (its whole set) of each text of ``members``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = G.utf8(batch.column(1))
-            for i, j in G.slices(offsets):
-                values, at = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(G.signed(values)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], names=["rep", "shingles"])
-
-    texts = docs.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-    return texts.mapInArrow(released(run), "rep long, shingles array<long>")
+def _links(key: tuple, table: pa.Table, percent: int) -> pa.Table:
+    """Links (a, b) between rows of block x and rows of block y, from their texts."""
+    own, rep, root = (table.column(c).to_numpy() for c in ("own", "rep", "root"))
+    values, at = shingles(*G.utf8(table.column("text")), exact=True)
+    return _forest(own, rep, root, values, np.diff(at), key[1].as_py(), key[2].as_py(), percent)
 
 
-def _links(key: tuple, table: pa.Table, percent: int) -> pa.Table:
-    """Links (a, b) between rows of block x and rows of block y: a forest over their components.
+def _forest(own: np.ndarray, rep: np.ndarray, root: np.ndarray, values: np.ndarray, size: np.ndarray, x: int, y: int, percent: int) -> pa.Table:
+    """Links between rows of block x and of block y that join components, as a forest over them.
 
     Intersections come from products of 0/1 matrices over the shingles that several rows have,
     some columns at a time; sums stay below 2**24, so single precision is exact.
     """
-    own, rep, root = (table.column(c).to_numpy() for c in ("own", "rep", "root"))
-    x, y = key[1].as_py(), key[2].as_py()
     left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-    lists = table.column("shingles").combine_chunks()
-    size = lists.value_lengths().to_numpy(zero_copy_only=False)
-    values = lists.flatten().to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(len(own)), size)
     order = np.argsort(values, kind="stable")
     values, row = values[order], row[order]
@@ -326,10 +328,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def _classes(docs: DataFrame, percent: int) -> DataFrame:
     sketches = materialise(sketch(docs), "sketch")
     usable = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialise(usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
-    same = usable.select("set_a", "set_b", F.col("doc_id").alias("b")).join(classes.where("n > 1"), ["set_a", "set_b"]).select(F.col("rep").alias("a"), "b")
+    classes = materialise(usable.groupBy("words_a", "words_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
+    same = usable.select("words_a", "words_b", F.col("doc_id").alias("b")).join(classes.where("n > 1"), ["words_a", "words_b"]).select(F.col("rep").alias("a"), "b")
     # several texts under one id: each has a row of its own here
-    reps = materialise(usable.join(classes.select("set_a", "set_b", F.col("rep").alias("doc_id")), ["doc_id", "set_a", "set_b"]).select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sig"), "reps")
+    reps = materialise(usable.join(classes.select("words_a", "words_b", F.col("rep").alias("doc_id")), ["doc_id", "words_a", "words_b"]).select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sig"), "reps")
     roots = merge(same)
 
     named = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))

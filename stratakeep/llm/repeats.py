@@ -56,20 +56,25 @@ class Windows:
         """K-grams that a window chooses its anchor from."""
         return self.length - self.gram + 1
 
-    def values(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Two independent values for each unit, and where each document's units begin."""
+    @property
+    def run(self) -> int:
+        """Units in the runs that fingerprints of spans are made of: no span is shorter."""
+        return min(64, 1 << ((self.length - max(self.piece, 1) + 1).bit_length() - 1))
+
+    def prints(self, data: np.ndarray, offsets: np.ndarray, anchors: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Fingerprints of the first family (k-grams with ``anchors``, else runs), runs of the
+        second one, and where each document's units begin."""
+        size = self.gram if anchors else self.run
         if self.unit == "byte":
-            return G.BASES[0].bytes[data], G.BASES[1].bytes[data], offsets
+            return G.FIRST.byte_grams(data, size), G.SECOND.byte_grams(data, self.run), offsets
         words = G.Words(data, offsets)
-        return words.fingerprints(0), words.fingerprints(1), words.doc_start
+        return G.FIRST.grams(words.fingerprints(G.FIRST), size), G.SECOND.grams(words.fingerprints(G.SECOND), self.run), words.doc_start
 
 
 def blocks(spec: Windows, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """For each anchor of a slice: document index, first window, windows - 1, offset of the anchor
     in the first window, two fingerprints."""
-    first, second, start = spec.values(data, offsets)
-    base, other = G.WORD_BASES
-    grams = base.grams(base.prefix(first), spec.gram)
+    grams, second, start = spec.prints(data, offsets, True)
     at = G.valid_starts(start, spec.length)
     if not len(at):
         none = np.zeros(0, np.int64)
@@ -79,7 +84,7 @@ def blocks(spec: Windows, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
     begin = at[new]
     more = np.diff(np.append(new, len(at))) - 1
     doc = np.searchsorted(start, begin, "right") - 1
-    content = other.spans(other.prefix(second), begin, begin + more + spec.length)
+    content = G.SECOND.spans(second, spec.run, begin, begin + more + spec.length)
     return doc, begin - start[doc], more, place[new] - begin, grams[place[new]], content
 
 
@@ -226,7 +231,7 @@ def _finer_rows(docs: DataFrame, checks: DataFrame, spec: Windows, piece: int) -
             bound = np.concatenate(([0], np.cumsum(size)))
             found = []
             for i, j in G.slices(offsets, SLICE):
-                first, second, start = spec.values(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                first, second, start = spec.prints(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], False)
                 a, b = bound[i], bound[j]
                 doc = np.repeat(np.arange(j - i), size[i:j])
                 begin, more, anchor = _unpack(at_all[a:b])
@@ -242,10 +247,9 @@ def _finer_rows(docs: DataFrame, checks: DataFrame, spec: Windows, piece: int) -
                 ideal = anchor[row] + number * piece
                 own = np.maximum(ideal, 0)
                 extra = np.minimum(ideal + piece - 1, last[doc[row]]) - own
-                base, other = G.WORD_BASES
                 pos = start[doc[row]]
-                h = base.spans(base.prefix(first), pos + ideal + piece - 1, pos + ideal + spec.length)
-                c = other.spans(other.prefix(second), pos + own, pos + own + extra + spec.length)
+                h = G.FIRST.spans(first, spec.run, pos + ideal + piece - 1, pos + ideal + spec.length)
+                c = G.SECOND.spans(second, spec.run, pos + own, pos + own + extra + spec.length)
                 # where all copies count, a block that repeats is settled: its windows tell (3) but aren't marked
                 told = np.where((n[row] > 1) & (not spec.first_stays), 3, 1)
                 found.append((h, c, ids[i + doc[row]], _pack(own, extra), told))

@@ -116,14 +116,15 @@ def test_dense_family_is_compared_block_by_block(spark, monkeypatch, percent):
 
 
 def test_links_join_all_components_of_two_blocks():
-    import pyarrow as pa
+    import numpy as np
 
     rnd = random.Random(5)
     sets = [sorted(set(range(100)) - {rnd.randrange(100) for _ in range(12)} | {1000 + 7 * i for _ in range(3)}) for i in range(40)]
     sets[5] = list(range(5000, 5020))
-    table = pa.table({"own": [i % 2 for i in range(40)], "rep": list(range(40)), "root": list(range(40)), "shingles": pa.array(sets, pa.list_(pa.int64()))})
+    own, each = np.arange(40) % 2, np.arange(40)
+    values, size = np.concatenate([np.array(x) for x in sets]), np.array([len(x) for x in sets])
     for x, y in ((0, 0), (0, 1), (1, 1)):
-        pairs = minhash._links((None, pa.scalar(x), pa.scalar(y)), table, 80).to_pylist()
+        pairs = minhash._forest(own, each, each, values, size, x, y, 80).to_pylist()
         ok = [(a, b) for a in range(40) for b in range(40) if a % 2 == x and b % 2 == y and a != b and 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})]
 
         def classes(edges):
@@ -136,3 +137,52 @@ def test_links_join_all_components_of_two_blocks():
         assert {(p["a"], p["b"]) for p in pairs} <= set(ok)
         assert classes([(p["a"], p["b"]) for p in pairs]) == classes(ok)
         assert len(pairs) < 40
+
+
+def thue_morse(n):
+    """Two words that sums of bytes times powers of an odd base modulo 2**64 can't tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_built_to_collide_stay_different(spark):
+    from stratakeep.llm import bytespans
+
+    from .test_bytespans import brute
+
+    texts_ = [w for n in (64, 1024, 4096) for w in thue_morse(n)]
+    line = [f"w{i}" for i in range(40)]
+    texts_ += [" ".join([*line[:20], w, *line[20:]]) for w in thue_morse(1024)]
+    texts_ += [" ".join(w) for w in thue_morse(1024)]  # words for letters
+    rows = list(enumerate(texts_))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(frame).collect()}
+    assert got == brute_near(rows) and [got[i][1] for i in range(8)] == list(range(8))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove(frame).collect()}
+    assert got == brute_words(rows, 35) and got[6][1] == got[7][1] == 0
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in bytespans.remove(frame).collect()}
+    assert got == brute(rows, 100)
+
+
+def test_fingerprints_and_names_follow_content():
+    import numpy as np
+
+    from stratakeep.llm import _grams as G
+
+    rng = np.random.default_rng(0)
+    data = np.tile(rng.integers(97, 100, 700, dtype=np.uint8), 2)
+    for k in (1, 3, 7, 8, 12, 24, 63, 64, 100):
+        found = {data[i : i + k].tobytes() for i in range(len(data) - k + 1)}
+        prints = G.FIRST.byte_grams(data, k)
+        assert len(prints) == len(data) - k + 1 and len(np.unique(prints)) == len(found) and (prints[: 701 - k] == prints[700 : 1401 - k]).all()
+        for values in (G.SECOND.grams(data.astype(np.uint64), k), G.gram_names(data.astype(np.int64), k)):
+            assert len(values) == len(prints) and len(np.unique(values)) == len(found)
+    words = ["a", "b" * 8, "b" * 9, "c" * 63, "c" * 64, "c" * 65, "d" * 500, "ab", "a"]
+    raw = " ".join(words + words).encode()
+    w = G.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    for values in (w.fingerprints(), w.names()):
+        assert len(np.unique(values)) == 8 and (values[:9] == values[9:]).all()
+    start = np.array([0, 5, 700, 3, 703])
+    end = np.array([130, 9, 830, 500, 1200])
+    spans = G.FIRST.spans(G.FIRST.byte_grams(data, 4), 4, start, end)
+    assert spans[0] == spans[2] and spans[3] == spans[4] and len(set(spans.tolist())) == 3
