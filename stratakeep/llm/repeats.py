@@ -11,7 +11,7 @@ the anchor's block.
   passages, one representative of each block goes on.  With ``piece`` it is cut in pieces of so many
   windows, aligned to the anchor and grouped by their core, the bytes that all windows of the piece
   share: where the core is unique nothing inside can repeat.  What is left is grouped window by
-  window.
+  window.  With ``factored`` the representatives are parsed against reference blocks instead.
 
 Before each exchange equal rows of an Arrow batch collapse to the first, so a passage that a third
 of all documents share sends one row a batch instead of one a document.  Reducers sort and stream:
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _grams as G
+from . import relative
 from ._common import materialise, released, ship, width
 
 SLICE = 1 << 18
@@ -43,13 +44,15 @@ WINDOW_SHIFT = 16
 
 @dataclass(frozen=True)
 class Windows:
-    """What repeats: ``unit`` is "byte" or "word"; ``first_stays``: the earliest copy is no repeat."""
+    """What repeats: ``unit`` is "byte" or "word"; ``first_stays``: the earliest copy is no repeat;
+    ``factored``: blocks that differ are factored against one another (``relative``, words only)."""
 
     unit: str
     length: int
     gram: int
     first_stays: bool
     piece: int = 0
+    factored: bool = False
 
     @property
     def reach(self) -> int:
@@ -270,6 +273,11 @@ def repeated_windows(docs: DataFrame, spec: Windows) -> DataFrame:
     """
     ship(docs.sparkSession)
     stages = [_grouped(_block_rows(docs, spec), spec, True)]
+    if spec.factored:
+        first = materialise(stages[0], "windows")
+        found = relative.repeated(docs, first.where(f"kind = {CHECK}").select("doc", "at", "n"), spec.length, spec.gram, _unpack)
+        packed = (F.shiftleft("first", WINDOW_SHIFT) + F.col("more") * 256).alias("at")
+        return first.where(f"kind = {COVERED}").select("doc", "at").unionByName(found.select("doc", packed))
     for piece in (spec.piece, 1) if spec.piece else (1,):
         stages[-1] = materialise(stages[-1], "windows")
         checks = stages[-1].where(f"kind = {CHECK}").select("doc", "at", "n")

@@ -1,11 +1,13 @@
-"""Removal of repeated word windows: anchored windows of all documents grouped by content.
+"""Removal of repeated word windows by relative Lempel-Ziv parsing against indexed reference blocks.
 
-This stands in for relative Lempel-Ziv factoring, which isn't built here: there is no reference
-index, no greedy longest factor and no factor length.  Every window of words is named by its anchor
-(``repeats``), blocks around one anchor are grouped by fingerprint, and where blocks of one anchor
-differ the grouping goes down to pieces and single windows.  A window counts as repeated if its
-fingerprint does; the words themselves aren't compared again.  Touching and overlapping windows
-join to duplicate spans; none is shorter than the window.
+1. Every window of words is named by its anchor, the least fingerprint of the 9-word runs in it;
+   neighbouring windows of one anchor form a stretch.  Stretches are grouped by anchor and content
+   (two independent 64-bit fingerprints): one that stands elsewhere as a whole is a factor as it is,
+   and one copy of each goes on where an anchor has several different stretches.
+2. These are factored greedily against the reference blocks that hold their anchor (``relative``):
+   longest matches of words from a suffix array, factors of at least the window's length are
+   duplicate spans, and windows across factor boundaries are looked up one by one.
+3. Touching and overlapping windows join to duplicate spans; none is shorter than the window.
 
 Edge cases: a null or wordless text has no words and loses none; a document shorter than the
 window loses nothing; rows that repeat a doc_id are taken as one document (give other texts
@@ -33,7 +35,7 @@ _OUT = "doc long, n_words long, n_removed long, kept_text string, kept_sha256 st
 
 
 def _spec(window: int) -> Windows:
-    return Windows("word", window, min(GRAM, window), first_stays=False)
+    return Windows("word", window, min(GRAM, window), first_stays=False, factored=True)
 
 
 def spans(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from stratakeep.llm import minhash, substrings
+from stratakeep.llm import minhash, relative, substrings
 
 
 def brute_words(rows, window):
@@ -40,8 +40,12 @@ def texts(seed, n=60):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_words_against_brute_force(spark, seed):
+def test_words_against_brute_force(spark, monkeypatch, seed):
+    monkeypatch.setattr(relative, "STRETCHES", 256 if seed == 1 else 2)  # with 2, anchors are split
     rows = texts(seed)
+    line = " ".join(f"h{i}" for i in range(33))  # a frequent line, always in other surroundings
+    rows += [(1000 + i, f"p{i} q{i} {line} r{i} s{i} " + "c d " * (i % 3)) for i in range(40)]
+    rows += [(2000 + i, f"{line} r{i} s{i}\n{line}\ttt{i}") for i in range(6)]
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_words(rows, 35)
 
@@ -186,3 +190,38 @@ def test_fingerprints_and_names_follow_content():
     end = np.array([130, 9, 830, 500, 1200])
     spans = G.FIRST.spans(G.FIRST.byte_grams(data, 4), 4, start, end)
     assert spans[0] == spans[2] and spans[3] == spans[4] and len(set(spans.tolist())) == 3
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_greedy_factors_of_a_reference_block(seed):
+    rnd = random.Random(seed)
+    words = [[rnd.choice("abc") for _ in range(rnd.randrange(0, 40))] for _ in range(rnd.randrange(1, 12))]
+    block = relative.block_of([" ".join(w) for w in words])
+    places = lambda run: [(k, i) for k, w in enumerate(words) for i in range(len(w) - len(run) + 1) if w[i : i + len(run)] == run]
+    for k, w in enumerate(words):
+        at = 0
+        for f in block.factors(k):
+            run = w[f.start : f.start + f.length]
+            assert f.start == at and len(run) == f.length >= 1
+            if f.stretch >= 0:  # it stands at its source, which is elsewhere
+                assert (f.stretch, f.offset) in places(run) and (f.stretch, f.offset) != (k, f.start)
+            else:
+                assert f.length == 1 and len(places(run)) == 1
+            longer = w[f.start : f.start + (f.length + 1 if f.stretch >= 0 else 1)]
+            assert len(longer) == f.length and f.stretch >= 0 or len(places(longer)) == 1  # none longer stands elsewhere
+            at += f.length
+        assert at == len(w)
+    for window in (3, 5, 8):
+        want = {(k, i) for k, w in enumerate(words) for i in range(len(w) - window + 1) if len(places(w[i : i + window])) > 1}
+        assert set(zip(*(x.tolist() for x in block.repeated(window)), strict=True)) == want
+
+
+def test_factors_show_where_words_come_from():
+    block = relative.block_of(["a b c d e x", "y a b c d e", "z q"])
+    assert block.factors(0) == [relative.Factor(0, 5, 1, 1), relative.Factor(5, 1, -1, -1)]
+    assert block.factors(1)[1:] == [relative.Factor(1, 5, 0, 0)] and block.factors(1)[0] == relative.Factor(0, 1, -1, -1)
+    # greedy factors end inside "c d e f", which only the lookup across their boundary finds
+    block = relative.block_of(["a b c d e f", "a b c d", "c d e f"])
+    assert [f.length for f in block.factors(0)] == [4, 2]
+    stretch, offset = block.repeated(4)
+    assert (0, 2) in set(zip(stretch.tolist(), offset.tolist(), strict=True))
