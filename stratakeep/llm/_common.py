@@ -171,13 +171,15 @@ ROWS_OF_A_KEY = 1000
 BROADCAST_KEYS = 200_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: str) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, counts: DataFrame | None = None) -> DataFrame:
     """Inner join on ``keys`` where ``left`` may have any number of rows of one key.
 
     A key with more than ``ROWS_OF_A_KEY`` rows is dealt out by a hash of column ``by``, and its rows
-    on the right are repeated once for each share, so no task gets more than a share.
+    on the right are repeated once for each share, so no task gets more than a share.  ``counts``
+    has the number n of rows of each key on the left, where it is known.
     """
-    hot = left.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > ROWS_OF_A_KEY)
+    counts = left.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
+    hot = counts.where(F.col("n") > ROWS_OF_A_KEY)
     hot = materialise(hot.select(*keys, F.ceil(F.col("n") / ROWS_OF_A_KEY).alias("ways")), "hot-keys")
     shown = F.broadcast(hot) if hot.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else hot
     ways = F.coalesce("ways", F.lit(1))

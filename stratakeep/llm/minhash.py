@@ -335,8 +335,9 @@ def _classes(docs: DataFrame, percent: int) -> DataFrame:
     roots = merge(same)
 
     named = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    least = materialise(named.groupBy("band", "bucket").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
-    shared = materialise(named.join(least, ["band", "bucket"]).select("band", "bucket", "rep", "a"), "shared")
+    least = materialise(named.groupBy("band", "bucket").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    keys = ["band", "bucket"]
+    shared = materialise(spread_join(named, least.drop("n"), keys, "rep", least.drop("a")).select(*keys, "rep", "a"), "shared")
     star = shared.where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     sigs = reps.select("rep", "sig")
     pairs = materialise(_estimated(star, sigs, percent).groupBy("a", "b").agg(F.max("estimate").alias("estimate")), "pairs")

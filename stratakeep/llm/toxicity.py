@@ -2,12 +2,14 @@
 
 1. Terms are lower-cased words and word beginnings of 4 to 6 letters, and for each the levels of
    frequency that a text reaches.  On a bounded sample of the labelled rows (``max_examples``)
-   those that go with the toxic label are kept (``max_terms``).
+   those that go with the toxic label are kept, all of them: whoever is significant at ``LEAST_Z``
+   in ``LEAST_DOCS`` toxic texts.  Vectors over every term of a text, without this choice, find far
+   fewer toxic texts (README has the figures): names and rare words drown the few that tell.
 2. One pass over all documents notes which kept terms each has and how often; document
    frequencies for the inverse weights are counted over the whole corpus.
-3. The sample's vectors form an inverted index whose postings are cut in blocks with their largest
-   weight.  A query walks its terms from the largest possible contribution down and opens only
-   blocks that can still lift an example into the k nearest, so the result is exact.
+3. The sample's vectors form an inverted index over blocks of alike examples with the largest
+   weight of each term in each block.  A query opens only blocks whose bound reaches its k-th
+   score; the result is exact.
 4. Votes weighted by similarity, smoothed by the rate among examples without any kept term, are
    calibrated by a logistic fit on leave-one-out votes.  The nearest examples are the evidence.
 
@@ -31,7 +33,6 @@ from pyspark.sql import functions as F
 from ._common import materialise, released, ship
 
 MAX_EXAMPLES = 20_000
-MAX_TERMS = 4096
 LEAST_Z = 5.0
 LEAST_DOCS = 4
 NEIGHBOURS = 16
@@ -103,62 +104,82 @@ class Vocabulary:
 
 
 class BlockMaxIndex:
-    """Inverted index of unit vectors; postings of a term in blocks with their largest weight."""
+    """Inverted index of unit vectors over blocks of rows.
+
+    Rows are laid out by their heaviest terms, so that a block's rows are alike, and ``BLOCK``
+    neighbours form a block.  A term's postings are cut where the block changes, and each cut keeps
+    its largest weight.  The products of a query's weights and these maxima, summed by block, bound
+    every score in a block; blocks are opened from the largest bound down, twice as many each time,
+    until no closed one can reach the k-th score.  Postings of closed blocks are never read:
+    ``read`` and ``listed`` count the postings that queries opened and that their terms have.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         self.size = len(vectors)
-        term = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
-        weight = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
-        row = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
-        order = np.lexsort((row, term))
-        self.rows, self.weights = row[order], weight[order]
-        self.start = np.searchsorted(term[order], np.arange(n_terms + 1))
-        self.block_max, self.term_max = [], np.zeros(n_terms)
-        for t in range(n_terms):
-            w = self.weights[self.start[t] : self.start[t + 1]]
-            self.block_max.append(np.maximum.reduceat(w, np.arange(0, len(w), BLOCK)) if len(w) else w)
-            self.term_max[t] = w.max() if len(w) else 0.0
+        self.blocks = -(-self.size // BLOCK)
+        self.read = self.listed = 0
+        heaviest = [tuple(t[np.argsort(-w, kind="stable")]) for t, w in vectors]
+        self.row = np.array(sorted(range(self.size), key=lambda i: (heaviest[i], i)), np.int64)  # of each place
+        place = np.empty(self.size, np.int64)
+        place[self.row] = np.arange(self.size)
+        none = np.zeros(0)
+        term = np.concatenate([v[0] for v in vectors]) if vectors else none.astype(np.int64)
+        weight = np.concatenate([v[1] for v in vectors]) if vectors else none
+        at = place[np.repeat(np.arange(self.size), [len(v[0]) for v in vectors])] if vectors else none.astype(np.int64)
+        order = np.lexsort((at, term))
+        term, self.places, self.weights = term[order], at[order], weight[order]
+        block = self.places // BLOCK
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        first = np.flatnonzero(new)
+        self.cut = np.append(first, len(term))  # postings of each cut
+        self.cut_block = block[first]
+        self.cut_max = np.maximum.reduceat(self.weights, first) if len(first) else none
+        self.start = np.searchsorted(term[first], np.arange(n_terms + 1))  # cuts of each term
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k rows of largest positive dot product (ties to smaller rows), and the products."""
-        order = np.argsort(-weight * self.term_max[term], kind="stable")
-        term, weight = term[order], weight[order]
-        bound = np.append(np.cumsum((weight * self.term_max[term])[::-1])[::-1], 0.0)  # of this and later terms
+        cuts, owner = _ranges(self.start[term], self.start[term + 1])
+        weights, blocks = weight[owner], self.cut_block[cuts]
+        self.listed += int((self.cut[cuts + 1] - self.cut[cuts]).sum())
+        bound = np.bincount(blocks, weights * self.cut_max[cuts], self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[: int((bound > 0).sum())]
         score = np.zeros(self.size)
-        seen = np.zeros(self.size, bool)
-        for i, (t, w) in enumerate(zip(term, weight, strict=True)):
-            a, b = self.start[t], self.start[t + 1]
-            live = score[seen]
-            floor = np.partition(live, len(live) - k)[len(live) - k] if len(live) >= k else 0.0
-            if bound[i] < floor - 1e-12:  # new rows can't reach the k nearest: only lift known ones
-                opened = self.block_max[t] > 0
-                rows, weights = self._blocks(a, b, opened)
-                known = score[rows] > 0
-                score[rows[known]] += w * weights[known]
-                continue
-            opened = w * self.block_max[t] + bound[i + 1] >= floor - 1e-12
-            rows, weights = self._blocks(a, b, opened)
-            score[rows] += w * weights
-            seen[rows] = True
+        opened, step, floor = 0, 2, 0.0
+        while opened < len(order) and bound[order[opened]] >= floor - 1e-12:
+            step *= 2
+            now = order[opened : opened + step]
+            opened += len(now)
+            wanted = np.zeros(self.blocks, bool)
+            wanted[now[bound[now] >= floor - 1e-12]] = True
+            take = wanted[blocks]
+            postings, of = _ranges(self.cut[cuts[take]], self.cut[cuts[take] + 1])
+            self.read += len(postings)
+            score += np.bincount(self.places[postings], weights[take][of] * self.weights[postings], self.size)
             if without >= 0:
-                seen[without] = False
-            if not opened.all():  # known rows in the closed blocks still gain
-                rows, weights = self._blocks(a, b, ~opened)
-                known = seen[rows]
-                score[rows[known]] += w * weights[known]
-        seen = np.flatnonzero(seen)
-        best = seen[np.argsort(-score[seen], kind="stable")][:k]
-        return best, score[best]
-
-    def _blocks(self, a: int, b: int, opened: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if opened.all():
-            return self.rows[a:b], self.weights[a:b]
-        take = np.repeat(opened, BLOCK)[: b - a]
-        return self.rows[a:b][take], self.weights[a:b][take]
+                score[self.place_of(without)] = 0.0
+            live = score[score > 0]
+            floor = np.partition(live, len(live) - k)[len(live) - k] if len(live) >= k else 0.0
+        seen = np.flatnonzero(score > 0 if floor == 0 else score >= floor)
+        best = seen[np.lexsort((self.row[seen], -score[seen]))][:k]
+        return self.row[best], score[best]
+
+    def place_of(self, row: int) -> int:
+        if not hasattr(self, "_place"):
+            self._place = np.argsort(self.row)
+        return int(self._place[row])
+
+
+def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges [start, stop) in turn, and which range each is of."""
+    size = stop - start
+    owner = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(owner)) + np.repeat(start - (np.cumsum(size) - size), size), owner
 
 
 class Model:
-    """Everything that scoring needs; its size is bounded by max_examples and max_terms."""
+    """Everything that scoring needs; it comes from max_examples labelled rows alone."""
 
     def __init__(self, kept: list[str], df: np.ndarray, n_docs: int, examples: list[tuple[int, int, dict[int, int]]], bare: tuple[int, int], k: int = NEIGHBOURS):
         self.idf = np.log((n_docs + 1) / (df + 1)) + 1 if len(kept) else np.zeros(0)
@@ -222,7 +243,7 @@ def sample_labels(labels: DataFrame, where: str | None, max_examples: int = MAX_
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
 
 
-def fit_terms(examples: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
+def fit_terms(examples: DataFrame) -> list[str]:
     """Terms that go with the toxic label in ``examples`` (text, toxic): largest z first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,10 +268,10 @@ def fit_terms(examples: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
     z = (F.col("toxic") / t - (F.col("docs") - F.col("toxic")) / (n - t)) / F.sqrt(rate * (1 - rate) * (1 / t + 1 / (n - t)))
     enough = (F.col("toxic") >= LEAST_DOCS) & (F.col("docs") < n)
     best = counts.where(enough).withColumn("z", z).where(F.col("z") >= LEAST_Z)
-    return [r.term for r in best.orderBy(F.desc("z"), "term").limit(max_terms).collect()]
+    return [r.term for r in best.orderBy(F.desc("z"), "term").collect()]
 
 
-def score(docs: DataFrame, labels: DataFrame, train_where: str | None = None, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, train_where: str | None = None, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """doc_id, score and evidence for every row of ``docs`` (doc_id, text).
 
     ``labels`` has doc_id and toxic (0/1); ``train_where`` restricts the rows that are learnt from.
@@ -261,7 +282,7 @@ def score(docs: DataFrame, labels: DataFrame, train_where: str | None = None, ma
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chosen = materialise(sample_labels(labels, train_where, max_examples), "examples")
     examples = materialise(docs.join(chosen, "doc_id").select("doc_id", "toxic", "text"), "example-texts")
-    kept = fit_terms(examples, max_terms)
+    kept = fit_terms(examples)
     shared_terms = spark.sparkContext.broadcast(kept)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -55,6 +55,21 @@ def test_block_max_index_is_exact(monkeypatch, seed):
             assert {g for g, s in zip(got, similarity, strict=True) if s > bound + 1e-9} == {g for g, s in want if s > bound + 1e-9}
 
 
+def test_blocks_out_of_reach_are_not_read():
+    rng = np.random.default_rng(7)
+    vectors = []
+    for i in range(6000):  # a common term, and two of a group's own terms
+        t = np.array([0, *sorted(1 + 20 * (i % 40) + rng.choice(20, 2, replace=False))])
+        w = np.array([0.3, *(1 + rng.random(2))])
+        vectors.append((t, w / np.sqrt((w * w).sum())))
+    index = X.BlockMaxIndex(vectors, 801)
+    for i in rng.choice(6000, 50, replace=False):
+        got, similarity = index.nearest(*vectors[i], 16)
+        want = exact_nearest(vectors, vectors[i], 16)
+        assert np.allclose(similarity, [s for _, s in want])
+    assert index.listed > 50 * 6000 and index.read < 0.2 * index.listed
+
+
 def test_held_out_accuracy_evidence_and_no_leak(spark):
     rows, labels = corpus()
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
@@ -100,4 +115,3 @@ def test_rare_and_mixed_terms_are_kept(spark):
     rows = [("vile " * (i < 7) + "bad " * (i < 80) + "x", 1) for i in range(800)] + [("bad " * (i < 120) + "x", 0) for i in range(3200)]
     examples = spark.createDataFrame(rows, "text string, toxic int")
     assert {"vile", "bad"} <= set(X.fit_terms(examples)) and "x" not in X.fit_terms(examples)
-    assert len(X.fit_terms(examples, 1)) == 1
