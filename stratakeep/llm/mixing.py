@@ -1,24 +1,25 @@
 """Mixing documents to target weights by soft domain membership, in DataFrame operations only.
 
 1. A table of labelled documents (at most ``max_examples``, the first by a hash of their ids) gives
-   a classifier: per-domain log-likelihoods of the ``max_features`` words that tell most, the mean
-   over a document's known words, sharpened by a factor fitted on a held-out quarter.
-2. Every document gets posteriors over the domains, in steps of 1/``STEPS``.  Scoring is a broadcast
-   join of its words with the bounded word table and a sum within the row's own partition, so only
-   one narrow row a document crosses an exchange.
+   a classifier: per-domain log-likelihoods of every word of these documents, the mean over a
+   document's known words, sharpened by a factor fitted on a held-out quarter.
+2. Every document gets posteriors over the domains, in double precision.  Scoring joins its words
+   with the word table, which is sent to every executor up to ``BROADCAST_WORDS`` words (beyond, the
+   planner joins by word), and sums within the row's own partition, so only one narrow row a
+   document crosses an exchange.
 3. Rates r minimise sum_d (sum_i t_i p_id r_i - T_d)^2 / s_d subject to r_i >= ``least``, where t are
    tokens, s the present domain totals and T the targets.  Projected gradient from r = 1, with
    momentum that begins anew when the error grows, in the metric of the tokens, where its
-   Lipschitz constant is 1.  The gradient of a document depends only on its
-   posteriors, so documents of equal posteriors keep equal rates: iterations run on one row for each
-   distinct posterior, whose number the steps bound whatever the number of documents.
+   Lipschitz constant is 1.  An iteration is one pass over narrow rows (posteriors, tokens and the
+   state of the rate) that ends in one total a domain; every ``STATE`` iterations the state is
+   written, so that plans and recomputation stay short.
 
 Edge cases: a null or wordless text has no tokens, the prior as posteriors and a rate like any
 other; texts without known words get the prior; rows that repeat an id are rows of their own; null
 ids pass through; without labelled rows there is one domain, named null, and all rates are 1; a
 target whose domain no document can have is out of reach and left out of the fit; a domain
 without a target has target 0; an empty table gives an empty result.  Columns other than
-id and text are ignored.
+id and text are ignored.  There may be any number of domains, but each is a column of the plan.
 """
 
 from __future__ import annotations
@@ -28,20 +29,18 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import discard, materialise
 
 MAX_EXAMPLES = 8000
-MAX_FEATURES = 2000
-MAX_DOMAINS = 64
-LEAST_COUNT = 10
-STEPS = 256
 ITERATIONS = 100
 #: Iterations end when no domain's share of the tokens moves by more.
 TOLERANCE = 1e-5
 #: With a least rate, wanted totals leave so much room for documents that count for several domains.
 HEADROOM = 1.02
-#: Rows of the table of rates up to which it is sent to every executor; beyond, it is shuffled.
-BROADCAST_ROWS = 100_000
+#: Iterations after which the state of every rate is written.
+STATE = 10
+#: Words up to which the classifier is sent to every executor.
+BROADCAST_WORDS = 1_000_000
 _SHARPNESS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0)
 #: No word has white space, so this one can stand for the row itself.
 _ROW = " "
@@ -63,10 +62,12 @@ def _words(text: str) -> tuple[Column, Column]:
 
 
 class Classifier:
-    """Word table (word, w0, w1, ...) of bounded size, log priors and sharpness."""
+    """Word table (word, w0, w1, ...), log priors and sharpness."""
 
     def __init__(self, domains: list, words: DataFrame | None, priors: list[float], sharpness: float):
         self.domains, self.words, self.priors, self.sharpness = domains, words, priors, sharpness
+        if words is not None and words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+            self.words = F.broadcast(words)
 
     def sums(self, docs: DataFrame, text: str, keep: dict[str, Column]) -> DataFrame:
         """One row a row of ``docs``: keep, n_tokens, known (matched words), s0, s1, ..."""
@@ -75,25 +76,20 @@ class Classifier:
         kept = [f"k_{name}" for name in keep]
         each = rows.select(*kept, "row", "n_tokens", F.explode("words").alias("word"))
         totals = [F.sum(f"w{i}").alias(f"s{i}") for i in range(len(self.domains))]
-        out = each.join(F.broadcast(self.words), "word").groupBy("row", "n_tokens", *kept).agg((F.count("*") - 1).alias("known"), *totals)
+        out = each.join(self.words, "word").groupBy("row", "n_tokens", *kept).agg((F.count("*") - 1).alias("known"), *totals)
         return out.select(*[F.col(k).alias(name) for k, name in zip(kept, keep, strict=True)], "n_tokens", "known", *[f"s{i}" for i in range(len(self.domains))])
 
-    def logits(self, sharpness: float) -> list[Column]:
-        return [F.lit(p) + F.lit(sharpness) * F.col(f"s{i}") / F.greatest(F.col("known"), F.lit(1)) for i, p in enumerate(self.priors)]
+    def logits(self, means: Column, sharpness: float) -> Column:
+        """An array of one value a domain from the array of mean log-likelihoods."""
+        return F.zip_with(means, F.array(*[F.lit(p) for p in self.priors]), lambda m, p: p + F.lit(sharpness) * m)
 
-    def steps(self) -> list[Column]:
-        """Posteriors in whole steps of about 1/STEPS, one column a domain."""
-        x = self.logits(self.sharpness)
-        top = F.greatest(*x) if len(x) > 1 else x[0]
-        e = [F.exp(v - top) for v in x]
-        return [F.round(F.lit(STEPS) * v / sum(e[1:], e[0])).cast("int") for v in e]
+    def means(self) -> Column:
+        return F.array(*[F.col(f"s{i}") / F.greatest(F.col("known"), F.lit(1)) for i in range(len(self.domains))])
 
 
-def fit_classifier(labelled: DataFrame, max_features: int = MAX_FEATURES, max_domains: int = MAX_DOMAINS) -> Classifier:
+def fit_classifier(labelled: DataFrame) -> Classifier:
     """From (doc_id, domain, text): word likelihoods on three quarters, sharpness on the fourth."""
-    counts = labelled.groupBy("domain").count().orderBy("domain").limit(max_domains + 1).collect()
-    if len(counts) > max_domains:
-        raise ValueError(f"more than {max_domains} domains")
+    counts = labelled.groupBy("domain").count().orderBy("domain").collect()
     domains = [r.domain for r in counts]
     if not domains:
         return Classifier([None], None, [0.0], 1.0)
@@ -107,116 +103,105 @@ def fit_classifier(labelled: DataFrame, max_features: int = MAX_FEATURES, max_do
     table = materialise(table, "word-counts")
     whole = table.agg(F.count("*").alias("v"), *[F.sum(f"c{i}").alias(f"c{i}") for i in n]).first()
     size = [(whole[f"c{i}"] or 0) + 1.0 for i in n]
-    share = [s / sum(size) for s in size]
-    row_total = sum([F.col(f"c{i}") for i in n[1:]], F.col("c0"))
-    told = sum([F.col(f"c{i}") * F.log((F.col(f"c{i}") + 0.5) / (F.col("all") * share[i] + 0.5)) for i in n[1:]], F.col("c0") * F.log((F.col("c0") + 0.5) / (F.col("all") * share[0] + 0.5)))
-    best = table.withColumn("all", row_total).where(F.col("all") >= LEAST_COUNT).withColumn("told", told).orderBy(F.desc("told"), "word").limit(max_features)
-    weights = best.select("word", *[F.log((F.col(f"c{i}") + 0.5) / (size[i] + 0.5 * whole.v)).alias(f"w{i}") for i in n])
+    weights = table.select("word", *[F.log((F.col(f"c{i}") + 0.5) / (size[i] + 0.5 * whole.v)).alias(f"w{i}") for i in n])
     spark = labelled.sparkSession
     bias = spark.range(1).select(F.lit(_ROW).alias("word"), *[F.lit(0.0).alias(f"w{i}") for i in n])
     model = Classifier(domains, materialise(weights.unionByName(bias), "word-table"), priors, 1.0)
     scored = materialise(model.sums(labelled.where(held), "text", {"domain": F.col("domain")}), "held-out")
+    at = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("domain")).cast("int") - 1
+    tried = scored.select(at.alias("at"), model.means().alias("m"))
+    tried = tried.select("at", *[model.logits(F.col("m"), sharp).alias(f"x{k}") for k, sharp in enumerate(_SHARPNESS)])
     losses = []
-    for k, sharp in enumerate(_SHARPNESS):
-        x = model.logits(sharp)
-        top = F.greatest(*x) if len(x) > 1 else x[0]
-        mass = sum([F.exp(v - top) for v in x[1:]], F.exp(x[0] - top))
-        own = F.coalesce(*[F.when(F.col("domain") == d, v) for d, v in zip(domains, x, strict=True)])
-        losses.append(F.avg(top + F.log(mass) - own).alias(f"l{k}"))
-    loss = scored.agg(*losses).first()
+    for k in range(len(_SHARPNESS)):
+        x = F.col(f"x{k}")
+        mass = F.aggregate(x, F.lit(0.0), lambda total, v: total + F.exp(v - F.array_max(x)))  # noqa: B023
+        losses.append(F.avg(F.array_max(x) + F.log(mass) - F.get(x, F.col("at"))).alias(f"l{k}"))
+    loss = tried.agg(*losses).first()
     if loss.l0 is not None:
         model.sharpness = min(zip(loss, _SHARPNESS, strict=True))[1]
     return model
 
 
 def posteriors(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, q0, q1, ...: posteriors in whole steps."""
+    """doc_id, n_tokens, p0, p1, ...: a posterior for each domain."""
     keep = {"doc_id": F.col(f"`{doc_id}`").cast("long")}
     if model.words is None:
-        return docs.select(keep["doc_id"].alias("doc_id"), _words(text)[1].alias("n_tokens"), F.lit(STEPS).alias("q0"))
-    return model.sums(docs, text, keep).select("doc_id", "n_tokens", *[q.alias(f"q{i}") for i, q in enumerate(model.steps())])
-
-
-def _shares(d: int) -> list[Column]:
-    mass = sum([F.col(f"q{i}") for i in range(1, d)], F.col("q0"))
-    return [F.col(f"q{i}") / mass for i in range(d)]
-
-
-def _rates(p: list[Column], steps: list[list[float]], least: float) -> Column:
-    """A struct of the rate after so many projected steps and the point that the next one starts
-    from: a fold over the row's posteriors of the steps' pulls, each with its momentum."""
-    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
-    if not steps:
-        return start
-    listed = F.array(*[F.array(*[F.lit(float(x)) for x in step]) for step in steps])
-
-    def move(state: Column, step: Column) -> Column:
-        pull = sum([p[i] * step[i] for i in range(1, len(p))], p[0] * step[0])
-        rate = F.greatest(F.lit(float(least)), state["ahead"] - pull)
-        return F.struct(rate.alias("rate"), (rate + step[len(p)] * (rate - state["rate"])).alias("ahead"))
-
-    return F.aggregate(listed, start, move)
-
-
-def fit_rates(groups: DataFrame, domains: list, targets: dict, least: float = 0.0, iterations: int = ITERATIONS) -> tuple[Column, dict]:
-    """The rate as a column over q0, q1, ...; and what was fitted: totals before, wanted, reached.
-
-    ``groups`` has q0, q1, ... and tokens, a row for each distinct posterior.  Totals are shares of
-    the present tokens.  With ``least`` above 0 the wanted totals are scaled up until no domain has
-    to shrink below it, and by ``HEADROOM``; posteriors that are spread wide can still keep a total
-    above what is wanted, and the fit then comes as near as least squares can.
+        return docs.select(keep["doc_id"].alias("doc_id"), _words(text)[1].alias("n_tokens"), F.lit(1.0).alias("p0"))
+    rows = model.sums(docs, text, keep).select("doc_id", "n_tokens", model.means().alias("m"))
+    rows = rows.select("doc_id", "n_tokens", model.logits(F.col("m"), model.sharpness).alias("x"))
+    rows = rows.select("doc_id", "n_tokens", "x", F.array_max("x").alias("top"))
+    rows = rows.select("doc_id", "n_tokens", F.transform("x", lambda v: F.exp(v - F.col("top"))).alias("e"))
+    rows = rows.select("doc_id", "n_tokens", "e", F.aggregate("e", F.lit(0.0), lambda total, v: total + v).alias("mass"))
+    return rows.select("doc_id", "n_tokens", *[(F.get("e", F.lit(i)) / F.col("mass")).alias(f"p{i}") for i in range(len(model.domains))])
+
+
+def _moved(state: DataFrame, pull: list[float], momentum: float, least: float) -> DataFrame:
+    """One projected step of every rate, and the point that the next one starts from."""
+    slope = sum([F.col(f"p{i}") * F.lit(x) for i, x in enumerate(pull) if i], F.col("p0") * F.lit(pull[0]))
+    others = [c for c in state.columns if c not in ("rate", "ahead")]
+    stepped = state.select(*others, "rate", F.greatest(F.lit(float(least)), F.col("ahead") - slope).alias("next"))
+    return stepped.select(*others, F.col("next").alias("rate"), (F.col("next") + F.lit(momentum) * (F.col("next") - F.col("rate"))).alias("ahead"))
+
+
+def fit_rates(scored: DataFrame, domains: list, targets: dict, least: float = 0.0, iterations: int | None = None) -> tuple[DataFrame, dict]:
+    """``scored`` with a column ``rate``; and what was fitted: totals before, wanted, reached.
+
+    ``scored`` has n_tokens, p0, p1, ... and other columns.  Totals are shares of the present
+    tokens.  With ``least`` above 0 the wanted totals are scaled up until no domain has to shrink
+    below it, and by ``HEADROOM``; posteriors that are spread wide can still keep a total above what
+    is wanted, and the fit then comes as near as least squares can.
     """
     d = len(domains)
-    p = _shares(d)
-    total = float(groups.agg(F.sum("tokens")).first()[0] or 0)
+    state = scored.select("*", F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
+    out = lambda frame: frame.drop("ahead")
+    nothing = {"before": {}, "wanted": {}, "reached": {}, "steps": 0}
+    total = float(scored.agg(F.sum("n_tokens")).first()[0] or 0)
     if not total:
-        return F.lit(1.0), {"before": {}, "wanted": {}, "reached": {}, "steps": 0}
+        return out(state), nothing
 
-    def totals(rate: Column) -> list[float]:
-        row = groups.select((F.col("tokens") * rate).alias("w"), *[x.alias(f"p{i}") for i, x in enumerate(p)]).agg(*[F.sum(F.col("w") * F.col(f"p{i}")).alias(f"t{i}") for i in range(d)]).first()
+    def totals(frame: DataFrame, rate: str) -> list[float]:
+        row = frame.agg(*[F.sum(F.col("n_tokens") * F.col(rate) * F.col(f"p{i}")).alias(f"t{i}") for i in range(d)]).first()
         return [x / total for x in row]
 
-    before = totals(F.lit(1.0))
+    before = totals(state, "rate")
     known = [x > 0 for x in before]
     weight = [max(0.0, float(targets.get(name, 0.0))) if k else 0.0 for name, k in zip(domains, known, strict=True)]
     if not sum(weight):
-        return F.lit(1.0), {"before": dict(zip(domains, before, strict=True)), "wanted": {}, "reached": {}, "steps": 0}
+        return out(state), nothing | {"before": dict(zip(domains, before, strict=True))}
     wanted = [w / sum(weight) for w in weight]
     scale = max([1.0, *(HEADROOM * least * b / w for b, w in zip(before, wanted, strict=True) if w > 0)])
     wanted = [scale * w for w in wanted]
-    steps: list[list[float]] = []
-    point, error, speed = before, math.inf, 1.0
-    for _ in range(iterations):
+    point, error, speed, done, written = before, math.inf, 1.0, 0, None
+    while done < (ITERATIONS if iterations is None else iterations):
         pull = [(x - w) / b if b > 0 else 0.0 for x, w, b in zip(point, wanted, before, strict=True)]
         now = sum(e * e * b for e, b in zip(pull, before, strict=True))
         faster = 1.0 if now > error else (1 + math.sqrt(1 + 4 * speed * speed)) / 2  # else begin the momentum anew
-        steps.append([*pull, (speed - 1) / faster if faster > 1 else 0.0])
-        error, speed = now, faster
-        ahead = totals(_rates(p, steps, least)["ahead"])
+        state = _moved(state, pull, (speed - 1) / faster if faster > 1 else 0.0, least)
+        error, speed, done = now, faster, done + 1
+        if done % STATE == 0:
+            state = materialise(state, "rates")
+            if written is not None:
+                discard(written)
+            written = state
+        ahead = totals(state, "ahead")
         moved = max(abs(x - y) for x, y in zip(ahead, point, strict=True))
         point = ahead
         if moved < TOLERANCE:
             break
-    steps[-1][-1] = 0.0
-    rate = _rates(p, steps, least)["rate"]
-    said = {k: dict(zip(domains, v, strict=True)) for k, v in (("before", before), ("wanted", wanted), ("reached", totals(rate)))}
-    return rate, said | {"steps": len(steps)}
+    said = {k: dict(zip(domains, v, strict=True)) for k, v in (("before", before), ("wanted", wanted), ("reached", totals(state, "rate")))}
+    return out(state), said | {"steps": done}
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict, least: float = 0.0, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict]:
     """doc_id, n_tokens, domain (most probable), posteriors (array, domains in order), rate for
-    every row of ``docs``; and what ``fit_rates`` reports."""
+    every row of ``docs``; and what ``fit_rates`` reports, with the domains in order."""
     model = fit_classifier(labelled)
-    d = len(model.domains)
-    q = [f"q{i}" for i in range(d)]
+    p = [F.col(f"p{i}") for i in range(len(model.domains))]
     scored = materialise(posteriors(docs, model, doc_id, text), "posteriors")
-    groups = materialise(scored.groupBy(*q).agg(F.sum("n_tokens").alias("tokens")), "posterior-groups")
-    rate, said = fit_rates(groups, model.domains, targets, least)
-    rated = materialise(groups.select(*q, rate.alias("rate"), F.array(*_shares(d)).alias("posteriors")), "rates")
-    rated = F.broadcast(rated) if rated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rated
-    top = F.greatest(*[F.col(x) for x in q]) if d > 1 else F.col("q0")
-    domain = F.coalesce(*[F.when(F.col(x) == top, F.lit(name).cast("string")) for x, name in zip(q, model.domains, strict=True)])
-    return scored.join(rated, q).select("doc_id", "n_tokens", domain.alias("domain"), "posteriors", "rate"), said
+    rated, said = fit_rates(scored, model.domains, targets, least)
+    top = F.greatest(*p) if len(p) > 1 else p[0]
+    domain = F.coalesce(*[F.when(x == top, F.lit(name).cast("string")) for x, name in zip(p, model.domains, strict=True)])
+    return rated.select("doc_id", "n_tokens", domain.alias("domain"), F.array(*p).alias("posteriors"), "rate"), said | {"domains": model.domains}
 
 
 def resample(docs: DataFrame, labelled: DataFrame, targets: dict, least: float = 0.0, seed: int = 0) -> DataFrame:

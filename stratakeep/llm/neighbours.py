@@ -7,8 +7,10 @@
    partitions and is compared exactly, in double precision, with every row of them.
 
 ``probes`` is set on held-out vectors of the sample so that their true neighbours are found with
-``target`` probability.  The number of partitions grows with the rows up to ``MAX_PARTITIONS``;
-partitions are worked off in blocks of rows, so no task holds a whole one.
+``target`` probability.  There are ``LEAST_PARTITIONS`` at any size, and one for every
+``ROWS_PER_PARTITION`` rows as far as the sample can teach so many (``VECTORS_PER_PARTITION`` each:
+a larger table wants a larger ``sample``); partitions are worked off in blocks of rows, so no task
+holds a whole one.
 
 Equal vectors are one entry that keeps its k + 1 smallest ids, which is exact because ties go to
 the smaller id: a vector that a third of all rows share costs one comparison.
@@ -36,12 +38,18 @@ SAMPLE = 4000
 HELD_OUT = 500
 DEGREE = 10
 ROWS_PER_PARTITION = 2048
-MAX_PARTITIONS = 256
+LEAST_PARTITIONS = 8
+#: Sample vectors that a partition is learnt from, at least.
+VECTORS_PER_PARTITION = 16
 HIDDEN = 64
 TARGET = 0.97
 BLOCK = 4096
 
 
+#: What the last search fitted: partitions, partitions asked, different vectors.
+_FITTED: dict[str, int] = {}
+
+
 def neighbour_graph(x: np.ndarray, degree: int) -> np.ndarray:
     """Indices of the ``degree`` nearest other rows of each unit vector."""
     out = np.empty((len(x), degree), np.int64)
@@ -153,7 +161,7 @@ def fit_router(sample: np.ndarray, parts: int, target: float = TARGET, k: int =
     held = min(HELD_OUT, len(x) // 5)
     train, test = x[held:], x[:held]
     router = Router(x.shape[1], parts)
-    if parts == 1 or len(train) <= DEGREE:
+    if len(train) <= max(DEGREE, 2 * parts):  # too few to learn from: every partition is asked
         return router, parts
     graph = neighbour_graph(train, min(DEGREE, len(train) - 1))
     label = balanced_partition(graph, parts)
@@ -226,8 +234,9 @@ def search(df: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embeddin
     entries = materialise(distinct_vectors(rows, k + 1), "vectors")
     total = entries.count()
     drawn = np.array([r.v for r in entries.orderBy(F.xxhash64("key"), "key").limit(sample).collect()])
-    parts = int(min(MAX_PARTITIONS, max(1, round(total / ROWS_PER_PARTITION))))
+    parts = int(max(LEAST_PARTITIONS, min(len(drawn) // VECTORS_PER_PARTITION, round(total / ROWS_PER_PARTITION))))
     router, probes = fit_router(drawn, parts, target, k) if total else (Router(1, 1), 1)
+    _FITTED.update(parts=parts, probes=probes, vectors=total)
     shared = spark.sparkContext.broadcast(router)
 
     queries = keyed(rows.where(is_query))

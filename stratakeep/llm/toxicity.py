@@ -36,7 +36,7 @@ MAX_EXAMPLES = 20_000
 LEAST_Z = 5.0
 LEAST_DOCS = 4
 NEIGHBOURS = 16
-BLOCK = 64
+BLOCK = 16
 SMOOTHING = 0.5
 #: Texts whose terms one task holds together, and scores that it remembers.
 ROWS_AT_ONCE = 128
