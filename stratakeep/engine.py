@@ -55,14 +55,18 @@ class Engine:
         if self.closed:
             raise EngineClosed("engine is closed")
         snapshot = self.storage.head() if version is None else self.storage.manifest(version)
-        return Transaction(self.storage, snapshot, fold_after=self.fold_after)
+        return Transaction(self.storage, snapshot, after=self._tidy)
 
     @contextmanager
     def _commit(self) -> Iterator[Transaction]:
         with self.transaction() as tx:
             yield tx
-        for name in {n for n in tx.origins.values() if n in tx.tables}:
-            if len(tx.tables[name].deltas) > self.fold_after:
+
+    def _tidy(self, tx: Transaction) -> None:
+        """After a commit: merge the deltas of tables that have gathered too many."""
+        tables = self.storage.head().tables
+        for name in set(tx.origins.values()):
+            if name in tables and len(tables[name].deltas) > self.fold_after:
                 self.fold(name)
 
     # statements

@@ -9,6 +9,7 @@ validated: this is snapshot isolation.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -31,8 +32,8 @@ _OPS = ("<", "<=", ">", ">=")
 class Transaction:
     """Use as a context manager: commits at the end, aborts if an error leaves it."""
 
-    def __init__(self, storage: Storage, snapshot: Manifest | None = None, parent: Transaction | None = None, fold_after: int = 32):
-        self.storage, self.parent, self.fold_after = storage, parent, fold_after
+    def __init__(self, storage: Storage, snapshot: Manifest | None = None, parent: Transaction | None = None, after: Callable[[Transaction], None] | None = None):
+        self.storage, self.parent, self.after = storage, parent, after
         self.snapshot = parent.snapshot if parent else snapshot
         self.tables = dict(parent.tables if parent else snapshot.tables)
         self.wrote: dict[str, list[str]] = {}
@@ -55,9 +56,10 @@ class Transaction:
             raise TxDone("TX has already finished")
 
     def begin(self) -> Transaction:
-        """A nested transaction: its commit folds into this one, its abort leaves this one alone."""
+        """A nested transaction: its commit folds into this one, its abort leaves this one alone.
+        Several may be open at a time; none sees what another one does before that commits."""
         self._open()
-        return Transaction(self.storage, parent=self, fold_after=self.fold_after)
+        return Transaction(self.storage, parent=self)
 
     def abort(self) -> None:
         self._open()
@@ -69,14 +71,32 @@ class Transaction:
     def commit(self) -> None:
         self._open()
         if self.parent:
-            self.parent.tables = dict(self.tables)
-            for origin, paths in self.wrote.items():
-                self.parent.wrote.setdefault(origin, []).extend(paths)
-            self.parent.origins |= self.origins
-            self.parent.ddl |= self.ddl
+            self._hand_up(self.parent)
         elif self.wrote or self.ddl:
             self._publish()
         self.done = True
+        if self.after and self.version is not None:
+            self.after(self)
+
+    def _hand_up(self, parent: Transaction) -> None:
+        """Put what this transaction staged on top of the parent's present state, which siblings
+        may have changed since this one began; of writes to one key the later commit's stays."""
+        for origin, name in self.origins.items():
+            gone = name in parent.ddl and name not in parent.tables
+            if name not in self.ddl and (gone or name in parent.tables and parent.tables[name].origin != origin):
+                raise TxConflict("a sibling transaction has dropped the table")
+        for name in self.ddl:
+            parent.tables.pop(name, None)
+            if name in self.tables:
+                parent.tables[name] = self.tables[name]
+        for origin, paths in self.wrote.items():
+            name = self.origins[origin]
+            parent.wrote.setdefault(origin, []).extend(paths)
+            if name not in self.ddl:
+                below = parent.tables.get(name) or replace(self.tables[name], deltas=())
+                parent.tables[name] = replace(below, deltas=(*below.deltas, *paths))
+        parent.origins |= self.origins
+        parent.ddl |= self.ddl
 
     def _publish(self) -> None:
         checked = self.snapshot.version

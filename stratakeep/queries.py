@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
-from .errors import TxConflict
+from .errors import StrataError, TxConflict
+from .operators.kv import TABLE as KV_TABLE
 from .sources import dump
 from .sources.fixtures import register
 from .sources.generator import pairs as generated
+from .sources.storage import Manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -343,6 +345,143 @@ def _s21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text(generated(spark, 5000, 128))
 
 
+def _observed(name: str, want: dict[str, object]) -> Callable:
+    """A query of named observations (all as text) and the values that they must have."""
+    rows = ", ".join(f"('{k}', '{v}')" for k, v in want.items())
+
+    def add(f: Callable[[SparkSession], dict]) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return spark.createDataFrame([(k, str(v)) for k, v in f(spark).items()], "what string, value string")
+
+        return _query(name, f"SELECT * FROM (VALUES {rows}) t(what, value)")(run)
+
+    return add
+
+
+def _error(run: Callable) -> str:
+    """The name of the error that a call ends in."""
+    try:
+        run()
+    except StrataError as e:
+        return type(e).__name__
+    return "none"
+
+
+@_query("t5_siblings", f"SELECT * FROM ({_SMALL}) WHERE k <> 2 UNION ALL SELECT 7, 'first', 7 UNION ALL SELECT 8, 'second', 8")
+def _t5s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _small(spark, "t5s")
+    with engine.transaction() as tx:
+        first, second, third = tx.begin(), tx.begin(), tx.begin()
+        first.insert("t", [7, "first", 7])
+        second.insert("t", [8, "second", 8])
+        second.sql("delete from t where k = 2;")
+        third.insert("t", [9, "third", 9])
+        first.commit()
+        third.abort()
+        second.commit()
+    return engine.table("t")
+
+
+@_observed("i6_kv_auto_fold", {"deltas stay bounded": True, "pairs": 30, "last value": "v29", "batches stay bounded": True})
+def _i6(spark: SparkSession) -> dict:
+    engine = Engine.scratch(spark, "i6")
+    engine.fold_after = 4
+    deltas = []
+    for i in range(30):
+        engine.kv.put(f"k{i:02}".encode(), f"v{i}".encode())
+        deltas.append(len(engine.storage.head().tables[KV_TABLE].deltas))
+    bounded = max(deltas) <= 4
+    for i in range(6):
+        with engine.transaction() as tx:
+            tx.upsert(KV_TABLE, [b"k00", f"again{i}".encode()])
+    return {"deltas stay bounded": bounded, "pairs": engine.kv.items().count(), "last value": engine.kv.get(b"k29").decode(), "batches stay bounded": len(engine.storage.head().tables[KV_TABLE].deltas) <= 4}
+
+
+@_observed("k3_checksummed_manifest", {"intact": "none", "one byte changed": "CorruptStore", "cut short": "CorruptStore"})
+def _k3(spark: SparkSession) -> dict:
+    stored = Manifest(3).to_bytes()
+    turned = bytes([stored[0] ^ 1]) + stored[1:]
+    return {"intact": _error(lambda: Manifest.from_bytes(stored)), "one byte changed": _error(lambda: Manifest.from_bytes(turned)), "cut short": _error(lambda: Manifest.from_bytes(stored[:-1]))}
+
+
+@_observed("k4_k5_result_access", {"all rows": "[(1,), (2,), (3,)]", "streamed": "[(1,), (2,), (3,)]", "after close": "[]", "columns": "[(k, int64)]"})
+def _k4(spark: SparkSession) -> dict:
+    engine = _small(spark, "k4")
+    ask = lambda: engine.sql("select k from t where k <= 3 and k >= 1;")
+    streamed, closed = ask(), ask()
+    closed.close()
+    closed.close()
+    columns = ", ".join(f"({n}, {t})" for n, t in ask().columns)
+    return {"all rows": ask().rows(), "streamed": list(streamed), "after close": list(closed), "columns": f"[{columns}]"}
+
+
+@_observed("x18_depth_guards", {"parentheses": "ParseError", "long sum": "AnalysisError", "within": 1})
+def _x18(spark: SparkSession) -> dict:
+    engine = _small(spark, "x18")
+    deep = "select k from t where " + "(" * 3000 + "1" + ")" * 3000 + ";"
+    long = "select " + "1+" * 3000 + "1 from t;"
+    return {"parentheses": _error(lambda: engine.sql(deep)), "long sum": _error(lambda: engine.sql(long)), "within": len(engine.sql("select k from t where k = " + "0+" * 300 + "1;").rows())}
+
+
+@_observed("x19_x20_headers_and_types", {"headers": "k|(k + 1)|(k = 1)", "types": "int64|int64|int64"})
+def _x19(spark: SparkSession) -> dict:
+    columns = _small(spark, "x19").sql("select k, k+1, k = 1 from t;").columns
+    return {"headers": "|".join(n for n, _ in columns), "types": "|".join(t for _, t in columns)}
+
+
+@_observed("p3_p4_projection_after_offset", {"rows": "[(6,), (3,)]", "columns without rows": "k"})
+def _p3(spark: SparkSession) -> dict:
+    engine = _small(spark, "p3")
+    # 6 / (k - 1) fails on k = 1, which the offset passes over
+    rows = engine.sql("select 6 / (k - 1) from t where k >= 1 and k <= 3 limit 2 offset 1;").rows()
+    return {"rows": rows, "columns without rows": engine.sql("select k from t where k = 99;").columns[0][0]}
+
+
+@_observed("t6_t7_finished_transactions", {"write after commit": "TxDone", "commit twice": "TxDone", "abort after commit": "TxDone", "statement commits itself": 1, "closed engine": "EngineClosed"})
+def _t6(spark: SparkSession) -> dict:
+    engine = _small(spark, "t6")
+    tx = engine.transaction()
+    tx.sql("delete from t where k = 1;")
+    tx.commit()
+    out = {"write after commit": _error(lambda: tx.sql("delete from t where k = 2;")), "commit twice": _error(tx.commit), "abort after commit": _error(tx.abort)}
+    out["statement commits itself"] = engine.sql("delete from t where k = 2;").rows_affected
+    engine.close()
+    return out | {"closed engine": _error(lambda: engine.sql("select k from t;"))}
+
+
+@_observed("i9_i10_cache_and_bloom", {"same frame": True, "follows a change": True, "found": True, "absent": True})
+def _i9(spark: SparkSession) -> dict:
+    engine = _small(spark, "i9")
+    first = engine.cached("t")
+    same, n = engine.cached("t") is first, first.count()
+    engine.sql("delete from t where k = 1;")
+    follows = engine.cached("t").count() == n - 1
+    engine.compact("t", bloom=True)
+    return {"same frame": same, "follows a change": follows, "found": engine.select("t", [2]) is not None, "absent": engine.select("t", [1]) is None}
+
+
+@_observed("a4_errors", {"no table": "AnalysisError", "no column": "AnalysisError", "bad text": "ParseError", "division": "ExecutionError", "reserved key": "ReservedKey", "missing key": "KeyNotFound", "mode": "InvalidArgument"})
+def _a4(spark: SparkSession) -> dict:
+    engine = _small(spark, "a4")
+    division = lambda: engine.sql("select 1 / (k - 1) from t where k = 1;").rows()
+    return {
+        "no table": _error(lambda: engine.sql("select k from zz;")), "no column": _error(lambda: engine.sql("select zz from t;")), "bad text": _error(lambda: engine.sql("selekt k from t;")),
+        "division": _error(division), "reserved key": _error(lambda: engine.kv.put_checked(b"", b"v")), "missing key": _error(lambda: engine.kv.need(b"none")), "mode": _error(lambda: engine.kv.put(b"k", b"v", "merge")),
+    }
+
+
+_ABSENT = (
+    "select k from t order by k;", "select k from t group by k;", "select count(*) from t;", "select distinct k from t;", "select k from t join u;", "select k as x from t;", "select k from t where k in (1);",
+    "select k from t where k between 1 and 2;", "select null from t;", "select 1.5 from t;", "with u as (select k from t) select k from u;", "select k from t union select k from t;", "alter table t add z int64;", "select k from t where s like 'a';",
+)
+
+
+@_query("s213_absent_constructs", "SELECT * FROM (VALUES " + ", ".join(f"({i}, TRUE)" for i in range(len(_ABSENT))) + ") t(statement, refused)")
+def _absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _small(spark, "absent")
+    return spark.createDataFrame([(i, _error(lambda s=s: engine.sql(s)) != "none") for i, s in enumerate(_ABSENT)], "statement int, refused boolean")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A key range with an expression, in key order."""
     engine = _orders(spark, sf_dir, "flagship")

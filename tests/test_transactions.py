@@ -165,3 +165,25 @@ def test_older_versions(db):
     before = db.storage.head().version
     db.sql("delete from t;")
     assert db.table("t", before).count() == 4 and db.table("t").count() == 0
+
+
+def test_siblings_fold_onto_one_another(spark, tmp_path):
+    db = Engine(spark, f"file://{tmp_path}/siblings")
+    db.sql("create table t (k int64, v string, primary key (k));")
+    with db.transaction() as tx:
+        one, two, three = tx.begin(), tx.begin(), tx.begin()
+        one.insert("t", [1, "one"])
+        two.insert("t", [2, "two"])
+        two.upsert("t", [1, "two"])
+        assert one.select("t", [2]) is None and two.select("t", [1]) == (1, "two")
+        one.commit()
+        assert tx.table("t").count() == 1
+        two.commit()  # the later commit's row stays
+        assert sorted(map(tuple, tx.table("t").collect())) == [(1, "two"), (2, "two")]
+        three.insert("t", [3, "three"])
+        dropping = tx.begin()
+        dropping.drop("t")
+        dropping.commit()
+        with pytest.raises(TxConflict):
+            three.commit()
+    assert "t" not in db.tables()
