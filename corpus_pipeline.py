@@ -26,15 +26,20 @@ TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.18, "es": 0.12}
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the threshold."""
+    """Documents whose toxicity score is below the threshold.
+
+    Rows go by their text, so every copy of a toxic text goes, with or without an id, and other
+    texts under the same id stay.
+    """
     with scratch(spark) as keep:
         scored = toxicity.score(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"), f"NOT ({HELD_OUT})")
-        toxic = keep(materialise(scored.where(F.col("score") >= THRESHOLD).select("doc_id").distinct(), "toxic"))
-    return docs.join(toxic, "doc_id", "left_anti").select(*COLUMNS)
+        toxic = keep(materialise(scored.where(F.col("score") >= THRESHOLD).select("content").distinct(), "toxic"))
+    content = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    return docs.select(*COLUMNS).withColumn("content", content).join(toxic, "content", "left_anti").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each near-duplicate class."""
+    """The document of smallest id of each near-duplicate class; rows with a null id stay."""
     classes = minhash.near_duplicates(docs.select("doc_id", "text"), percent=NEAR_PERCENT)
     copies = materialise(classes.where("NOT kept").select("doc_id").distinct(), "copies")
     return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)

@@ -20,6 +20,7 @@ repeated label rows of a document count as its largest label, null labels count
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -272,7 +273,8 @@ def fit_terms(examples: DataFrame) -> list[str]:
 
 
 def score(docs: DataFrame, labels: DataFrame, train_where: str | None = None, max_examples: int = MAX_EXAMPLES) -> DataFrame:
-    """doc_id, score and evidence for every row of ``docs`` (doc_id, text).
+    """doc_id, content (SHA-256 of the text), score and evidence for every row of ``docs``
+    (doc_id, text).  A score depends on the text alone, so rows of equal content have equal ones.
 
     ``labels`` has doc_id and toxic (0/1); ``train_where`` restricts the rows that are learnt from.
     Labels and ids never enter a vector.
@@ -292,9 +294,10 @@ def score(docs: DataFrame, labels: DataFrame, train_where: str | None = None, ma
             for at in range(0, len(whole), ROWS_AT_ONCE):
                 batch = whole.slice(at, ROWS_AT_ONCE)
                 found = [sorted(vocabulary.count(t.as_py() or "").items()) for t in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[i for i, _ in f] for f in found], kind), pa.array([[c for _, c in f] for f in found], kind)], names=["doc_id", "term", "tf"])
+                content = [hashlib.sha256((t.as_py() or "").encode()).digest() for t in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary()), pa.array([[i for i, _ in f] for f in found], kind), pa.array([[c for _, c in f] for f in found], kind)], names=["doc_id", "content", "term", "tf"])
 
-    counted = materialise(docs.mapInArrow(released(hits), "doc_id long, term array<int>, tf array<int>"), "term-counts")
+    counted = materialise(docs.mapInArrow(released(hits), "doc_id long, content binary, term array<int>, tf array<int>"), "term-counts")
     frequency = np.zeros(len(kept))
     for row in counted.select(F.explode("term").alias("term")).groupBy("term").count().collect():
         frequency[row.term] = row["count"]
@@ -308,7 +311,7 @@ def score(docs: DataFrame, labels: DataFrame, train_where: str | None = None, ma
         known: dict[tuple, tuple] = {}
         for batch in batches:
             out = []
-            for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for t, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 key = (*t, -1, *c)
                 if key not in known:
                     if len(known) >= KNOWN:
@@ -317,6 +320,6 @@ def score(docs: DataFrame, labels: DataFrame, train_where: str | None = None, ma
                 out.append(known[key])
             evidence = [[{"doc_id": i, "label": y, "similarity": s} for i, y, s in e] for _, e in out]
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in out], pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s for s, _ in out], pa.float64()), pa.array(evidence, kind)], names=["doc_id", "content", "score", "evidence"])
 
-    return counted.mapInArrow(released(run), "doc_id long, score double, evidence array<struct<doc_id: long, label: int, similarity: double>>")
+    return counted.mapInArrow(released(run), "doc_id long, content binary, score double, evidence array<struct<doc_id: long, label: int, similarity: double>>")
