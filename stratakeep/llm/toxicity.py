@@ -13,6 +13,9 @@
 4. Votes weighted by similarity, smoothed by the rate among examples without any kept term, are
    calibrated by a logistic fit on leave-one-out votes.  The nearest examples are the evidence.
 
+Copies of one text are one example (the smallest id, the largest label): they are no further
+evidence that a word goes with the label.
+
 Edge cases: null and empty texts, and texts without a kept term, get the rate of such examples;
 without labelled rows every score is 0; rows with a null doc_id are scored and never trained on;
 repeated label rows of a document count as its largest label, null labels count for nothing.
@@ -37,7 +40,11 @@ MAX_EXAMPLES = 20_000
 LEAST_Z = 5.0
 LEAST_DOCS = 4
 NEIGHBOURS = 16
-BLOCK = 16
+BLOCK = 64
+#: Blocks of largest bounds that give a query its first k-th score.
+FIRST_BLOCKS = 8
+#: Rows that one task scores.
+ROWS_OF_A_TASK = 8192
 SMOOTHING = 0.5
 #: Texts whose terms one task holds together, and scores that it remembers.
 ROWS_AT_ONCE = 128
@@ -110,8 +117,8 @@ class BlockMaxIndex:
     Rows are laid out by their heaviest terms, so that a block's rows are alike, and ``BLOCK``
     neighbours form a block.  A term's postings are cut where the block changes, and each cut keeps
     its largest weight.  The products of a query's weights and these maxima, summed by block, bound
-    every score in a block; blocks are opened from the largest bound down, twice as many each time,
-    until no closed one can reach the k-th score.  Postings of closed blocks are never read:
+    every score in a block.  The ``FIRST_BLOCKS`` of largest bounds are opened first and give a k-th
+    score; then those of the others that can reach it.  Postings of closed blocks are never read:
     ``read`` and ``listed`` count the postings that queries opened and that their terms have.
     """
 
@@ -146,30 +153,34 @@ class BlockMaxIndex:
         bound = np.bincount(blocks, weights * self.cut_max[cuts], self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[: int((bound > 0).sum())]
-        score = np.zeros(self.size)
-        opened, step, floor = 0, 2, 0.0
-        while opened < len(order) and bound[order[opened]] >= floor - 1e-12:
-            step *= 2
-            now = order[opened : opened + step]
-            opened += len(now)
-            wanted = np.zeros(self.blocks, bool)
-            wanted[now[bound[now] >= floor - 1e-12]] = True
-            take = wanted[blocks]
-            postings, of = _ranges(self.cut[cuts[take]], self.cut[cuts[take] + 1])
-            self.read += len(postings)
-            score += np.bincount(self.places[postings], weights[take][of] * self.weights[postings], self.size)
-            if without >= 0:
-                score[self.place_of(without)] = 0.0
-            live = score[score > 0]
-            floor = np.partition(live, len(live) - k)[len(live) - k] if len(live) >= k else 0.0
-        seen = np.flatnonzero(score > 0 if floor == 0 else score >= floor)
-        best = seen[np.lexsort((self.row[seen], -score[seen]))][:k]
-        return self.row[best], score[best]
-
-    def place_of(self, row: int) -> int:
-        if not hasattr(self, "_place"):
-            self._place = np.argsort(self.row)
-        return int(self._place[row])
+        first, rest = order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]
+        found = [self._open(first, cuts, weights, blocks, without)]
+        floor = _least_of(found[0][1], k)
+        rest = rest[bound[rest] >= floor - 1e-12]
+        if len(rest):
+            found.append(self._open(rest, cuts, weights, blocks, without))
+        row, score = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        near = np.flatnonzero(score >= _least_of(score, k))
+        best = near[np.lexsort((row[near], -score[near]))][:k]
+        return row[best], score[best]
+
+    def _open(self, opened: np.ndarray, cuts: np.ndarray, weights: np.ndarray, blocks: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the blocks ``opened`` with positive products, and the products."""
+        turn = np.full(self.blocks, -1, np.int64)
+        turn[opened] = np.arange(len(opened))
+        take = turn[blocks] >= 0
+        postings, of = _ranges(self.cut[cuts[take]], self.cut[cuts[take] + 1])
+        self.read += len(postings)
+        local = turn[blocks[take]][of] * BLOCK + self.places[postings] % BLOCK
+        score = np.bincount(local, weights[take][of] * self.weights[postings], len(opened) * BLOCK)
+        at = np.flatnonzero(score)
+        row = self.row[opened[at // BLOCK] * BLOCK + at % BLOCK]
+        return (row, score[at]) if without < 0 else (row[row != without], score[at][row != without])
+
+
+def _least_of(score: np.ndarray, k: int) -> float:
+    """The k-th largest score; 0 where there are fewer."""
+    return float(np.partition(score, len(score) - k)[len(score) - k]) if len(score) >= k else 0.0
 
 
 def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +294,9 @@ def score(docs: DataFrame, labels: DataFrame, train_where: str | None = None, ma
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chosen = materialise(sample_labels(labels, train_where, max_examples), "examples")
-    examples = materialise(docs.join(chosen, "doc_id").select("doc_id", "toxic", "text"), "example-texts")
+    named = docs.join(chosen, "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
+    alike = named.groupBy(F.sha2("text", 256).alias("content")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.first("text").alias("text"))
+    examples = materialise(alike.select("doc_id", "toxic", "text"), "example-texts")
     kept = fit_terms(examples)
     shared_terms = spark.sparkContext.broadcast(kept)
 
@@ -301,10 +314,11 @@ def score(docs: DataFrame, labels: DataFrame, train_where: str | None = None, ma
     frequency = np.zeros(len(kept))
     for row in counted.select(F.explode("term").alias("term")).groupBy("term").count().collect():
         frequency[row.term] = row["count"]
-    rows = chosen.join(counted, "doc_id").dropDuplicates(["doc_id"])
+    rows = examples.select("doc_id", "toxic").join(counted, "doc_id").dropDuplicates(["doc_id"])
     bare = rows.where("size(term) = 0").agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     full = rows.where("size(term) > 0").orderBy("doc_id").collect()
-    model = Model(kept, frequency, counted.count(), [(r.doc_id, r.toxic, dict(zip(r.term, r.tf, strict=True))) for r in full], (bare.n, bare.t))
+    n_docs = counted.count()
+    model = Model(kept, frequency, n_docs, [(r.doc_id, r.toxic, dict(zip(r.term, r.tf, strict=True))) for r in full], (bare.n, bare.t))
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,4 +336,5 @@ def score(docs: DataFrame, labels: DataFrame, train_where: str | None = None, ma
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s for s, _ in out], pa.float64()), pa.array(evidence, kind)], names=["doc_id", "content", "score", "evidence"])
 
-    return counted.mapInArrow(released(run), "doc_id long, content binary, score double, evidence array<struct<doc_id: long, label: int, similarity: double>>")
+    dealt = counted.repartition(max(1, -(-n_docs // ROWS_OF_A_TASK)))
+    return dealt.mapInArrow(released(run), "doc_id long, content binary, score double, evidence array<struct<doc_id: long, label: int, similarity: double>>")
