@@ -9,7 +9,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .errors import AnalysisError, EngineClosed
+from .errors import AnalysisError, EngineClosed, InvalidArgument
 from .operators.kv import KV
 from .operators.transaction import Transaction
 from .plans import ast as A
@@ -34,10 +34,13 @@ class Engine:
 
     @classmethod
     def scratch(cls, spark: SparkSession, tag: str = "engine") -> Engine:
-        """An engine on a new folder: in the shared checkpoint folder if the session has one."""
+        """An engine on a new folder: in the shared checkpoint folder if the session has one, else,
+        where driver and executors are one process, in a temporary folder of this machine."""
         import uuid
 
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and spark.sparkContext.master.split("[")[0] != "local":
+            raise InvalidArgument("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"{shared.rstrip('/')}/{tag}-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix=f'stratakeep-{tag}-')}"
         return cls(spark, root)
 

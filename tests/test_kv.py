@@ -94,6 +94,18 @@ def test_dump_round_trip(kv, spark, tmp_path):
     assert dump.restore_kv(other, io.BytesIO(out.getvalue())) == 5 and other.items().collect() == kv.items().collect()
 
 
+def test_restore_in_portions_commits_whole_streams_only(kv, spark, tmp_path, monkeypatch):
+    out = io.BytesIO()
+    dump.dump_kv(kv, out)
+    monkeypatch.setattr(dump, "PORTION", 1)  # a portion for each pair
+    other = Engine(spark, f"file://{tmp_path}/portions")
+    with pytest.raises(CorruptStore):
+        dump.restore_kv(other.kv, io.BytesIO(out.getvalue()[:-1]))
+    assert other.kv.items().count() == 0 and other.storage.files.names("data") == []
+    assert dump.restore_kv(other.kv, io.BytesIO(out.getvalue())) == 5
+    assert other.kv.items().collect() == kv.items().collect() and other.vacuum() == 0
+
+
 def test_dump_layout_and_damage():
     assert dump.crc32c(b"123456789") == 0xE3069283  # the check value of CRC-32C
     out = io.BytesIO()
