@@ -20,14 +20,16 @@ _LOCAL_ROOT: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor see.
 
-    It is ``spark.checkpoint.dir`` where the session has one.  Only where it is unset (a local
-    test) a temporary folder of this machine serves.
+    It is ``spark.checkpoint.dir`` where the session has one.  Only where it is unset and driver and
+    executors are one process (a local test) a temporary folder of this machine serves.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if spark.sparkContext.getCheckpointDir():
         return spark.sparkContext.getCheckpointDir().rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _LOCAL_ROOT:
         _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="stratakeep-"))
         atexit.register(_remove_local)

@@ -12,7 +12,9 @@ Edge cases: a null or empty html has the text ""; unclosed and stray tags, broke
 missing ends are tolerated; pages of any length are read whole; a page whose blocks are all
 rejected has the text ""; rows that repeat give repeated results.  Tags end where HTML ends them.
 As in HTML, a script, style, title, textarea, comment or quoted value without an end reaches to the
-end of the page; an iframe, math, noscript, object, select, svg or template without one is read on as text.
+end of the page; an iframe, noscript, select, svg, template or annotation of a formula without one is
+read on as text, with one it is left out.  The text of a formula and the fallback text of an object
+belong to the block that they stand in.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 from ._common import released, ship
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title iframe object svg math select".split())
+_RAW = frozenset("script style noscript template textarea title iframe svg select annotation annotation-xml".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+# formulas and embedded objects stand inside the text around them
+_INLINE |= frozenset("object param math annotation annotation-xml maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none mprescripts semantics".split())
 _P_ENDS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SAME = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table"}, "option": {"select"}}
 _ENDS_PAGE = frozenset("script style title textarea".split())
@@ -42,7 +46,7 @@ _ENDS = {name: re.compile(rf"</{name}(?=[ \t\n\f\r/>])", re.I | re.A) for name i
 _ATTRIBUTE = r"([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^ \t\n\f\r>\"'][^ \t\n\f\r>]*+)|(?=>)|\Z))?+"
 _ATTR = re.compile(_ATTRIBUTE)
 _TAG = re.compile(r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^ \t\n\f\r/>]*+)((?:[ \t\n\f\r/]++|" + re.sub(r"\((?!\?)", "(?:", _ATTRIBUTE) + r")*+)(?:>|\Z))", re.S)
-_SKIPPED = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<script(?:[ \t\n\f\r][^>]*[^/>])?>.*?(?:</script|\Z)|<(/?)(iframe|math|noscript|object|select|svg|template)(?=[ \t\n\f\r/>])([^>]*)", re.S | re.I | re.A)
+_SKIPPED = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<script(?:[ \t\n\f\r][^>]*[^/>])?>.*?(?:</script|\Z)|<(/?)(annotation|annotation-xml|iframe|noscript|select|svg|template)(?=[ \t\n\f\r/>])([^>]*)", re.S | re.I | re.A)
 _WORDED = frozenset("class id role hidden style aria-hidden".split())
 _SPACE = re.compile(r"\s+")
 

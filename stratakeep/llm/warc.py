@@ -9,8 +9,10 @@ Writers name files at random and report them through a table that only finished
 retried or lost task leaves at most a file that nobody reads.
 
 Edge cases: a null html counts as an empty payload; empty payloads are responses; a null page id is
-always a response and never referred to; rows that repeat a page id get a record each; a null url
-becomes the empty target.
+always a response and never referred to; rows that repeat a page id get a record each, and of equal
+payloads those under the smallest id are all responses; such records, and those of null ids, share
+their record id, which is made of the page id; a null url becomes the empty target; white space and
+control characters in a url are percent-encoded, as a header can't hold them.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import re
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +36,8 @@ MIN_PAYLOAD = 100
 ARCHIVE_BYTES = 32 << 20
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _DATE = "2000-01-01T00:00:00Z"
+# what would end a header or be trimmed from it
+_SPACES = re.compile(r"[\s\x00-\x1f\x7f]")
 
 
 def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -43,7 +49,7 @@ def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to
         "WARC/1.1",
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
-        f"WARC-Target-URI: {' '.join(url.split())}",
+        f"WARC-Target-URI: {_SPACES.sub(lambda m: quote(m[0]), url)}",
         f"WARC-Date: {_DATE}",
         f"WARC-Payload-Digest: sha256:{digest}",
     ]

@@ -67,6 +67,12 @@ def test_warc_round_trip(spark):
     assert warc.read(warc.write(warc.plan_records(frame.limit(0)), warc.archive_folder(spark))).count() == 0
 
 
+def test_urls_are_kept_but_for_what_a_header_cannot_hold():
+    for url, kept in [("http://x/a  b\r\nX: 1", "http://x/a%20%20b%0D%0AX:%201"), (" ü?q=%20#f", "%20ü?q=%20#f"), ("", ""), ("a\u2028b", "a%E2%80%A8b")]:
+        headers, length, payload = warc.parse(warc.record(1, url, b"data", "d", None))
+        assert headers["warc-target-uri"] == kept and (length, payload) == (4, b"data") and "x" not in headers
+
+
 def test_media_round_trip(spark):
     texts = ["", None, "a", "é" * 288, "x" * 577, "a", "b" * 5000, "a"]
     frame = spark.createDataFrame([(i, t, 1, "s") for i, t in enumerate(texts)], "doc_id long, text string, digest int, shard string")

@@ -73,7 +73,7 @@ def test_tags_end_where_html_ends_them(page, texts):
     assert [b.text for b in H.blocks(page)] == texts
 
 
-@pytest.mark.parametrize("name", ["svg", "math", "noscript", "object", "template", "iframe", "select"])
+@pytest.mark.parametrize("name", ["svg", "noscript", "template", "iframe", "select", "annotation", "annotation-xml"])
 def test_an_unclosed_element_does_not_cut_the_page(name):
     texts = lambda page: [b.text for b in H.blocks(page)]
     assert texts(f"<p>A</p><{name} x='y'><p>B</p><p>C</p>") == ["A", "B", "C"]
@@ -82,6 +82,14 @@ def test_an_unclosed_element_does_not_cut_the_page(name):
     assert texts(f"<{name}>no<!-- <{name}> --><script>'<{name}>'</script></{name}><p>A</p>") == ["A"]
 
 
+def test_formulas_and_fallbacks_stay_in_their_blocks():
+    formula = "<math display='block'><semantics><mrow><msup><mi>x</mi><mn>2</mn></msup><mo>=</mo><mn>4</mn></mrow><annotation encoding='tex'>x^2</annotation></semantics></math>"
+    texts = lambda page: [b.text for b in H.blocks(page)]
+    assert texts(f"<p>As {formula} holds.</p><p>B</p>") == ["As x2=4 holds.", "B"]
+    assert texts("<p>A film: <object data='f'><param name='x'>a cat sleeps</object> for long.</p>") == ["A film: a cat sleeps for long."]
+    assert texts("<math><mi>x<p>A</p>") == ["x", "A"] and texts("<p>A<object><p>B</p><p>C</p>") == ["A", "B", "C"]
+
+
 def test_only_whole_attribute_names_give_words():
     (block,) = H.blocks("<div data-id=nav alt='class=menu' CLASS=Story id='a-1'>Text</div>")
     assert block.words == ("class", "story", "id", "a")
