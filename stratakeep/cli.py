@@ -37,8 +37,10 @@ def normalize(text: str) -> str:
 
 
 def benchmark(engine: Engine, keys: int, value_size: int, reads: int, seed: int) -> dict:
-    """Bulk load, compaction, random reads as one join, and full scans; operations a second."""
+    """Bulk load, compaction, random reads as one join, full scans; then commits of 1,000 pairs,
+    single reads, and opening the store again up to its first read; operations a second."""
     spark, kv, out = engine.spark, engine.kv, {}
+    batches, singles = 20, 10
 
     def timed(name: str, n: int, work) -> None:
         began = time.perf_counter()
@@ -52,6 +54,15 @@ def benchmark(engine: Engine, keys: int, value_size: int, reads: int, seed: int)
     timed("random_read", reads, found.collect)
     timed("iterate_keys", keys, lambda: kv.items().agg(F.count("key")).collect())
     timed("iterate_values", keys, lambda: kv.items().agg(F.count("key"), F.sum(F.crc32("value"))).collect())
+    batch = pairs(spark, 1000, value_size)
+
+    def commits() -> None:
+        for i in range(batches):
+            kv.upsert_df(batch.select(F.concat(F.lit(f"batch{i:04}-".encode()), "key").alias("key"), "value"))
+
+    timed("batch_commits", batches * 1000, commits)
+    timed("point_read", singles, lambda: [kv.get(f"{i:016}".encode()) for i in range(singles)])
+    timed("reopen", 1, lambda: Engine(spark, engine.storage.files.root).kv.get(b"0" * 16))
     return out
 
 

@@ -22,11 +22,13 @@ class Engine:
     """Tables and a key-value store below ``root``, a folder that the driver and executors share.
 
     Every call commits by itself; ``transaction()`` groups calls.  ``fold_after``: how many deltas a
-    table gathers before a commit merges them.
+    table gathers before a commit merges the newest of them; an older one is merged too if it is at
+    most ``growth`` times as large as what is merged above it, so that a row is written again a
+    number of times that grows with the logarithm of the commits only.
     """
 
-    def __init__(self, spark: SparkSession, root: str, fold_after: int = 32):
-        self.spark, self.storage, self.fold_after = spark, Storage(spark, root), fold_after
+    def __init__(self, spark: SparkSession, root: str, fold_after: int = 32, growth: float = 2.0):
+        self.spark, self.storage, self.fold_after, self.growth = spark, Storage(spark, root), fold_after, growth
         self.storage.open()
         self.closed = False
         self._cached: dict[str, tuple] = {}
@@ -70,7 +72,19 @@ class Engine:
         tables = self.storage.head().tables
         for name in set(tx.origins.values()):
             if name in tables and len(tables[name].deltas) > self.fold_after:
-                self.fold(name)
+                first = self._alike(tables[name].deltas)
+                self._maintain(name, lambda s, first=first: self.storage.fold(s, first), lambda s, first=first: len(s.deltas) > first + 1)
+
+    def _alike(self, deltas: tuple[str, ...]) -> int:
+        """From which delta on to merge: the last two at least, and those below while they aren't
+        much larger than the ones above them together."""
+        sizes = [self.storage.files.size(path) for path in deltas]
+        first = len(sizes) - 2
+        above = sum(sizes[first:])
+        while first > 0 and sizes[first - 1] <= self.growth * above:
+            first -= 1
+            above += sizes[first]
+        return first
 
     # statements
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument, KeyNotFound, ReservedKey
@@ -171,10 +171,9 @@ class KV:
             final = rows.groupBy("key").agg(F.max_by(after, "seq").alias("value"), F.first("old").alias("old"), F.count_if("took").alias("took"))
             # commands that cancel out stage their key all the same: it was written
             final = final.where("took > 0").select(F.col("key").alias("c0"), F.coalesce("value", F.lit(b"")).alias("c1"), F.col("value").isNull().alias("deleted"), "took")
-            count = final.agg(F.sum("took")).first()[0] or 0
-            if count:
-                tx.stage(TABLE, final.drop("took"))
-            return int(count)
+            seen = Observation()
+            tx.stage(TABLE, final.observe(seen, F.sum("took").alias("took")).drop("took"))
+            return int(seen.get["took"] or 0)
 
 
 def _named(rows: DataFrame) -> DataFrame:

@@ -9,10 +9,11 @@ validated: this is snapshot isolation.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..errors import AnalysisError, InvalidArgument, TxConflict, TxDone
@@ -206,22 +207,33 @@ class Transaction:
         first = typed.groupBy(*schema.key).agg(F.min(F.struct(*schema.rest)).alias("row"))
         return first.select(*schema.key, *[F.col(f"row.{c}").alias(c) for c in schema.rest]).select(*schema.stored)
 
-    def _near(self, name: str, rows: DataFrame) -> DataFrame:
-        """The table's rows in the range of the first key column that ``rows`` spans: what lies
-        outside can't match, and files in key order are skipped by it."""
+    @contextmanager
+    def _near(self, name: str, rows: DataFrame) -> Iterator[tuple[DataFrame, DataFrame]]:
+        """``rows``, and the table's rows in the range of the first key column that they span: what
+        lies outside can't match, and files in key order are skipped by it.
+
+        Where there is a base, ``rows`` are written down once and their range is seen on the way, so
+        a frame that gives other rows each time it is run is run once."""
         state = self.state(name)
         view = self.storage.view(state)
         if not state.base and not state.external:
-            return view
-        first = F.col(state.schema.key[0])
-        low, high = rows.agg(F.min(first), F.max(first)).first()
-        return view.where(F.lit(False)) if low is None else view.where(first.between(F.lit(low), F.lit(high)))
+            yield rows, view
+            return
+        first, seen, path = F.col(state.schema.key[0]), Observation(), self.storage.new_dir(name)
+        try:
+            with running():
+                rows.observe(seen, F.min(first).alias("low"), F.max(first).alias("high")).write.parquet(path)
+            low, high = seen.get["low"], seen.get["high"]
+            held = self.storage.spark.read.schema(rows.schema).parquet(path)
+            yield held, view.where(F.lit(False)) if low is None else view.where(first.between(F.lit(low), F.lit(high)))
+        finally:
+            self.storage.files.delete(path)
 
     def insert_df(self, name: str, rows: DataFrame) -> int:
         """Add rows whose key is new; others change nothing.  Returns how many were added."""
-        new = self._incoming(name, rows)
-        fresh = new.join(self._near(name, new).select(*self.schema(name).key), self.schema(name).key, "left_anti")
-        return self.stage(name, fresh.withColumn("deleted", F.lit(False)))
+        with self._near(name, self._incoming(name, rows)) as (new, near):
+            fresh = new.join(near.select(*self.schema(name).key), self.schema(name).key, "left_anti")
+            return self.stage(name, fresh.withColumn("deleted", F.lit(False)))
 
     def upsert_df(self, name: str, rows: DataFrame) -> int:
         """Add or replace rows; returns how many are new or differ from what was there."""
@@ -233,11 +245,11 @@ class Transaction:
 
     def _replace(self, name: str, rows: DataFrame, how: str) -> int:
         schema = self.schema(name)
-        new = self._incoming(name, rows)
-        old = self._near(name, new).select(*schema.key, F.struct(*schema.rest).alias("old") if schema.rest else F.lit(True).alias("old"))
-        joined = new.join(old, schema.key, how)
-        differs = ~F.struct(*schema.rest).eqNullSafe(F.col("old")) if schema.rest else F.col("old").isNull()
-        return self.stage(name, joined.where(differs).select(*schema.stored, F.lit(False).alias("deleted")))
+        with self._near(name, self._incoming(name, rows)) as (new, near):
+            old = near.select(*schema.key, F.struct(*schema.rest).alias("old") if schema.rest else F.lit(True).alias("old"))
+            joined = new.join(old, schema.key, how)
+            differs = ~F.struct(*schema.rest).eqNullSafe(F.col("old")) if schema.rest else F.col("old").isNull()
+            return self.stage(name, joined.where(differs).select(*schema.stored, F.lit(False).alias("deleted")))
 
     def delete_df(self, name: str, keys: DataFrame) -> int:
         """Delete the rows whose key is in ``keys`` (the key's columns, in its order)."""
@@ -245,8 +257,8 @@ class Transaction:
         if len(keys.columns) != len(schema.key):
             raise AnalysisError("schema mismatch")
         keys = keys.toDF(*schema.key).dropDuplicates()
-        found = self._near(name, keys).join(keys, schema.key, "left_semi")
-        return self.stage(name, _tombstones(schema, found))
+        with self._near(name, keys) as (keys, near):
+            return self.stage(name, _tombstones(schema, near.join(keys, schema.key, "left_semi")))
 
     def _one(self, name: str, row: list | tuple) -> DataFrame:
         schema = self.schema(name)
@@ -360,15 +372,15 @@ class Transaction:
             for item in items:
                 analyze.check_depth(item)
             columns = [(header(item), analyze.type_of(item, schema)) for item in items]
-            rows, _, compiler, order = self._matching(stmt.table, stmt.where)
-            rows = ordered(rows, schema, order.index, order.descending)
+            found, _, compiler, order = self._matching(stmt.table, stmt.where)
+            rows = ordered(found, schema, order.index, order.descending)
             if stmt.offset:
                 rows = rows.offset(stmt.offset)
             if stmt.limit is not None:
-                rows = rows.limit(stmt.limit)
+                rows = found = rows.limit(stmt.limit)
             # items are evaluated for the rows that are returned, and for no others
-            rows = rows.select(*[compiler.value(item).alias(name) for item, (name, _) in zip(items, columns, strict=True)])
-        return Result(columns, rows)
+            values = [compiler.value(item).alias(name) for item, (name, _) in zip(items, columns, strict=True)]
+            return Result(columns, found.select(*values), ordered=rows.select(*values))
 
     def _update(self, stmt: A.Update) -> int:
         with wrapping(self.storage.spark):

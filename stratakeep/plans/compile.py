@@ -13,12 +13,12 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import AnalysisError
 from ..sources.catalog import Schema
 from . import ast as A
 from .ordering import Order
 
-#: Divisions in one chain: each is a level that Spark has to resolve.
+#: Divisions in one chain that are written out, each a level that Spark has to resolve; longer
+#: chains run over an array of their operands, at one level whatever their length.
 MAX_DIVISIONS = 60
 DIVISION_BY_0 = "division by 0"
 _BOOL = "bool"
@@ -110,7 +110,7 @@ class Compiler:
             return _balanced(parts, lambda x, y: x + y), A.INT
         first, rest = A.spine(node, ("*", "/"))
         if sum(op == "/" for op, _ in rest) > MAX_DIVISIONS:
-            raise AnalysisError("expression is nested too deeply")
+            return self._run_over(first, rest), A.INT
         run = [self.value(first)]
         for op, kid in rest:
             if op == "*":
@@ -119,6 +119,11 @@ class Compiler:
                 run = [_divide(_balanced(run, lambda x, y: x * y), self.value(kid))]
         return _balanced(run, lambda x, y: x * y), A.INT
 
+    def _run_over(self, first: A.Expr, rest: list[tuple[str, A.Expr]]) -> Column:
+        """A chain of products and divisions from left to right, as a fold of its operands."""
+        steps = F.array(*[F.struct(F.lit(op == "/").alias("divides"), self.value(kid).alias("by")) for op, kid in rest])
+        return F.aggregate(steps, self.value(first), lambda x, s: F.when(s["divides"], _divide(x, s["by"])).otherwise(x * s["by"]))
+
     def _comparison(self, node: A.Binary) -> Column:
         if not isinstance(node.left, A.Tuple):
             return _compare(node.op, self.value(node.left), self.value(node.right))

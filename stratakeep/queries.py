@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cli import normalize
+from .cli import run as command_line
 from .engine import Engine
 from .errors import StrataError, TxConflict
 from .operators.kv import TABLE as KV_TABLE
@@ -415,12 +417,12 @@ def _k4(spark: SparkSession) -> dict:
     return {"all rows": ask().rows(), "streamed": list(streamed), "after close": list(closed), "columns": f"[{columns}]"}
 
 
-@_observed("x18_depth_guards", {"parentheses": "ParseError", "long sum": "AnalysisError", "within": 1})
+@_observed("x18_depth_guards", {"parentheses": "ParseError", "long sum": "AnalysisError", "within": 1, "divisions": "[(-7,)]"})
 def _x18(spark: SparkSession) -> dict:
     engine = _small(spark, "x18")
     deep = "select k from t where " + "(" * 3000 + "1" + ")" * 3000 + ";"
     long = "select " + "1+" * 3000 + "1 from t;"
-    return {"parentheses": _error(lambda: engine.sql(deep)), "long sum": _error(lambda: engine.sql(long)), "within": len(engine.sql("select k from t where k = " + "0+" * 300 + "1;").rows())}
+    return {"parentheses": _error(lambda: engine.sql(deep)), "long sum": _error(lambda: engine.sql(long)), "within": len(engine.sql("select k from t where k = " + "0+" * 300 + "1;").rows()), "divisions": engine.sql("select -15" + "*2/2" * 300 + "/2 from t where k = 1;").rows()}
 
 
 @_observed("x19_x20_headers_and_types", {"headers": "k|(k + 1)|(k = 1)", "types": "int64|int64|int64"})
@@ -470,6 +472,70 @@ def _a4(spark: SparkSession) -> dict:
     }
 
 
+@_observed("s8_m8_index_upkeep", {"moved": "[(0, 10), (1, 11), (2, 12)]", "left": "[(5,), (4,), (3,)]"})
+def _s8(spark: SparkSession) -> dict:
+    engine = _small(spark, "s8")
+    engine.sql("update t set n = n + 10 where k < 3;")
+    return {"moved": engine.sql("select k, n from t where n >= 10;").rows(), "left": engine.sql("select k from t where n <= 2;").rows()}
+
+
+@_observed("s15_a7_command_line", {"put": "0 updated", "put again": "0 unchanged", "range": "0 a\t1|b\t2", "range down": "0 b\t2|a\t1", "missing key": "1 ", "statement": "0 OK, 0 rows affected", "tables": "0 u"})
+def _s15(spark: SparkSession) -> dict:
+    root = Engine.scratch(spark, "s15").storage.files.root
+
+    def call(*argv: str) -> str:
+        out = io.StringIO()
+        code = command_line(["--root", root, *argv], spark, out)
+        return f"{code} {'|'.join(out.getvalue().splitlines())}"
+
+    first, again, _ = call("kv", "put", "a", "1"), call("kv", "put", "a", "1"), call("kv", "put", "b", "2")
+    out = {"put": first, "put again": again, "range": call("kv", "range", "a", "b"), "range down": call("kv", "range", "b", "a", "--descending"), "missing key": call("kv", "get", "zz")}
+    return out | {"statement": call("sql", "create table u (k int64, primary key (k))"), "tables": call("tables")}
+
+
+@_observed("s18_reopen", {"committed": "[(0,), (1,), (2,), (3,), (4,), (5,)]", "staged only": "None"})
+def _s18(spark: SparkSession) -> dict:
+    engine = _small(spark, "s18")
+    engine.transaction().insert("t", [9, "left open", 9])
+    again = Engine(spark, engine.storage.files.root)
+    return {"committed": again.sql("select k from t;").rows(), "staged only": again.select("t", [9])}
+
+
+@_observed("k6_k7_rendering", {"table": "+---+----+/| k | v  |/+---+----+/| 1 | v1 |/+---+----+/(1 row)/", "statement": "OK, 1 row affected/", "json": '{"columns":[{"name":"k","type":"int64"},{"name":"v","type":"string"}],"rows":[[1,"v1"]],"rows_affected":0}/'})
+def _k6(spark: SparkSession) -> dict:
+    engine = _small(spark, "k6")
+    ask = lambda style: engine.sql("select k, v from t where k = 1;").render(style).replace("\n", "/")
+    return {"table": ask("table"), "statement": engine.sql("delete from t where k = 5;").render().replace("\n", "/"), "json": ask("json")}
+
+
+@_observed("i5_merge_by_size", {"large delta stays": True, "deltas stay bounded": True, "pairs": 20_010})
+def _i5(spark: SparkSession) -> dict:
+    engine = Engine.scratch(spark, "i5")
+    engine.fold_after = 4
+    engine.kv.upsert_df(generated(spark, 20_000, 16))
+    deltas = lambda: engine.storage.head().tables[KV_TABLE].deltas
+    large = deltas()[0]
+    for i in range(10):
+        engine.kv.put(f"k{i}".encode(), b"small")
+    return {"large delta stays": deltas()[0] == large, "deltas stay bounded": len(deltas()) <= 4, "pairs": engine.kv.items().count()}
+
+
+@_observed("i8_readers_keep_their_files", {"reader": 6, "old version": 6, "newest": 5})
+def _i8(spark: SparkSession) -> dict:
+    engine = _small(spark, "i8")
+    reader, version = engine.table("t"), engine.storage.head().version
+    engine.sql("delete from t where k = 5;")
+    engine.compact("t")
+    engine.vacuum(keep_versions=3)
+    return {"reader": reader.count(), "old version": engine.table("t", version).count(), "newest": engine.table("t").count()}
+
+
+@_observed("a2_a8_results_and_statements", {"columns of a statement": "[]", "rows of a statement": "[]", "affected": 2, "ended": "select k from t;", "blank": ""})
+def _a2(spark: SparkSession) -> dict:
+    done = _small(spark, "a2").sql("update t set v = 'w' where k >= 4;")
+    return {"columns of a statement": done.columns, "rows of a statement": list(done), "affected": done.rows_affected, "ended": normalize(" select k from t "), "blank": normalize("  ")}
+
+
 _ABSENT = (
     "select k from t order by k;", "select k from t group by k;", "select count(*) from t;", "select distinct k from t;", "select k from t join u;", "select k as x from t;", "select k from t where k in (1);",
     "select k from t where k between 1 and 2;", "select null from t;", "select 1.5 from t;", "with u as (select k from t) select k from u;", "select k from t union select k from t;", "alter table t add z int64;", "select k from t where s like 'a';",

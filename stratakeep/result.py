@@ -27,25 +27,28 @@ def running() -> Iterator[None]:
 class Result:
     """``columns`` (name, type) are known before the first row; rows stream from the executors.
 
-    ``dataframe`` is the lazy result in the dialect's row order; names may repeat.
+    ``ordered`` is the lazy result in the dialect's row order, which iteration follows.
+    ``dataframe`` has the same rows for further work in Spark: without a LIMIT, where order decides
+    nothing, it isn't sorted.  Names may repeat.
     """
 
-    def __init__(self, columns: list[tuple[str, str]] | None = None, dataframe: DataFrame | None = None, rows_affected: int = 0):
+    def __init__(self, columns: list[tuple[str, str]] | None = None, dataframe: DataFrame | None = None, rows_affected: int = 0, ordered: DataFrame | None = None):
         self.columns, self.dataframe, self.rows_affected = columns or [], dataframe, rows_affected
+        self.ordered = dataframe if ordered is None else ordered
         self.closed = False
 
     def rows(self) -> list[tuple]:
         """All rows at once."""
-        if self.dataframe is None or self.closed:
+        if self.ordered is None or self.closed:
             return []
         with running():
-            return [tuple(r) for r in self.dataframe.collect()]
+            return [tuple(r) for r in self.ordered.collect()]
 
     def __iter__(self) -> Iterator[tuple]:
         """Rows one by one; a partition at a time is held."""
-        if self.dataframe is not None and not self.closed:
+        if self.ordered is not None and not self.closed:
             with running():
-                for row in self.dataframe.toLocalIterator():
+                for row in self.ordered.toLocalIterator():
                     if self.closed:
                         return
                     yield tuple(row)

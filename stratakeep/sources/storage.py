@@ -16,7 +16,7 @@ import uuid
 import zlib
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import CorruptStore
@@ -84,6 +84,10 @@ class Files:
     def delete(self, path: str) -> None:
         self.fs.delete(self.at(path), True)
 
+    def size(self, path: str) -> int:
+        """Bytes below a folder."""
+        return self.fs.getContentSummary(self.at(path)).getLength()
+
 
 @dataclass(frozen=True)
 class TableState:
@@ -169,10 +173,11 @@ class Storage:
         return f"{self.files.root}/data/{safe}-{uuid.uuid4().hex}"
 
     def write_delta(self, state: TableState, rows: DataFrame) -> tuple[str, int]:
-        """Stage rows (stored columns and ``deleted``); the folder and the number of rows."""
-        path = self.new_dir(state.schema.table)
-        rows.select(*state.schema.stored, "deleted").write.parquet(path)
-        return path, self.spark.read.schema(state.schema.spark(True)).parquet(path).count()
+        """Stage rows (stored columns and ``deleted``); the folder and the number of rows, which
+        are counted as they are written."""
+        path, seen = self.new_dir(state.schema.table), Observation()
+        rows.select(*state.schema.stored, "deleted").observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        return path, seen.get["n"]
 
     def base(self, state: TableState) -> DataFrame:
         schema = state.schema
@@ -219,10 +224,10 @@ class Storage:
         writer.parquet(path)
         return replace(state, base=path, external=None, deltas=())
 
-    def fold(self, state: TableState) -> TableState:
-        """Deltas merged to one, which is cheap where the base is large."""
-        path, _ = self.write_delta(state, self.newest(state))
-        return replace(state, deltas=(path,))
+    def fold(self, state: TableState, first: int = 0) -> TableState:
+        """Deltas from the ``first`` on merged to one, which is cheap where what lies below is large."""
+        path, _ = self.write_delta(state, self.newest(replace(state, deltas=state.deltas[first:])))
+        return replace(state, deltas=(*state.deltas[:first], path))
 
     def vacuum(self, keep: set[int]) -> int:
         """Delete manifests that aren't kept and data that no kept one names; folders deleted."""

@@ -43,7 +43,7 @@ def test_keys_and_maintenance(call, tmp_path, spark):
 
 def test_benchmark(call):
     got = json.loads(call("benchmark", "--keys", "200", "--reads", "50", "--value-size", "32")[1])
-    assert set(got) == {"populate", "compact", "random_read", "iterate_keys", "iterate_values"} and got["populate"]["ops"] == 200
+    assert set(got) == {"populate", "compact", "random_read", "iterate_keys", "iterate_values", "batch_commits", "point_read", "reopen"} and got["populate"]["ops"] == 200
 
 
 def test_stream_of_upserts(spark, tmp_path):
