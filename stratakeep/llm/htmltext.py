@@ -13,7 +13,9 @@ missing ends are tolerated; pages of any length are read whole; a page whose blo
 rejected has the text ""; rows that repeat give repeated results.  Tags end where HTML ends them.
 As in HTML, a script, style, title, textarea, comment or quoted value without an end reaches to the
 end of the page; an iframe, noscript, select, svg, template or annotation of a formula without one is
-read on as text, with one it is left out.  The text of a formula and the fallback text of an object
+read on as text, with one it is left out.  What an attribute hides (``hidden``, ``aria-hidden``,
+``display:none``, ``visibility:hidden``) counts as no part of the article; a header inside an article
+is its own, and so is a line on rights.  The text of a formula and the fallback text of an object
 belong to the block that they stand in.
 """
 
@@ -47,7 +49,8 @@ _ATTRIBUTE = r"([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?
 _ATTR = re.compile(_ATTRIBUTE)
 _TAG = re.compile(r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^ \t\n\f\r/>]*+)((?:[ \t\n\f\r/]++|" + re.sub(r"\((?!\?)", "(?:", _ATTRIBUTE) + r")*+)(?:>|\Z))", re.S)
 _SKIPPED = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<script(?:[ \t\n\f\r][^>]*[^/>])?>.*?(?:</script|\Z)|<(/?)(annotation|annotation-xml|iframe|noscript|select|svg|template)(?=[ \t\n\f\r/>])([^>]*)", re.S | re.I | re.A)
-_WORDED = frozenset("class id role hidden style aria-hidden".split())
+_WORDED = frozenset("class id role".split())
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _SPACE = re.compile(r"\s+")
 
 
@@ -142,13 +145,24 @@ def blocks(page: str) -> list[Block]:
             _imply(stack, name)
         if name == "a":
             depth, links = 1, links + 1
-        words = tuple(w for a in _ATTR.finditer(m[3]) if a[1].lower() in _WORDED for w in re.findall("[a-z]+", f"{a[1]} {a[2] or a[3] or a[4] or ''}".lower())) if m[3] else ()
+        words = tuple(w for a in _ATTR.finditer(m[3]) for w in _told(a[1].lower(), (a[2] or a[3] or a[4] or "").lower())) if m[3] else ()
         stack.append((name, words))
     text(page[at:])
     flush()
     return out
 
 
+def _told(name: str, value: str) -> list[str]:
+    """What an attribute says: its name and its value's words, or that the element isn't shown."""
+    if name == "aria-hidden":
+        return ["unseen"] if value.strip() == "true" else []
+    if name == "hidden":
+        return ["unseen"]
+    if name == "style":
+        return ["unseen"] if _UNSEEN.search(value) else []
+    return re.findall("[a-z]+", f"{name} {value}") if name in _WORDED else []
+
+
 def _imply(stack: list, name: str) -> None:
     """Close what a start tag ends by implication."""
     if name in _P_ENDS:
@@ -201,11 +215,13 @@ def features(page: list[Block]) -> list[list[str]]:
         share = b.linked / max(1, size)
         f.add(f"linked={0 if not b.links else 1 if share < 0.3 else 2 if share < 0.8 else 3}")
         f.add("stop" if b.text[-1] in ".!?…:\"'”»" else "open")
-        f.add("copyright" if "©" in b.text or "all rights" in b.text.lower() else "plain")
         f.add("first" if n == 0 else "last" if n == len(page) - 1 else "mid")
         if "article" in b.path or "main" in b.path:
             inner = b.path[max(i for i, t in enumerate(b.path) if t in ("article", "main")) :]
-            f.add("within" if not set(inner) & {"nav", "aside", "footer", "header", "form"} else "within-aside")
+            f |= {f"within-{t}" for t in inner if t in ("nav", "aside", "footer", "header", "form")} or {"within"}
+        # an article's own line on its rights is part of it
+        rights = "©" in b.text or "all rights" in b.text.lower() or b.text[:9].lower() == "copyright"
+        f.add("copyright" if rights and "within" not in f else "plain")
         rows.append(sorted(f))
     return rows
 
@@ -290,10 +306,11 @@ _ASIDES = (
     ('<div class="cookie-notice"><p>{t}</p><button>{s}</button></div>', ""), ('<div role="alert">{t}</div>', ""), ('<div class="newsletter"><p>{t}</p><form><input><button>{s}</button></form></div>', ""), ('<div id="consent">{t} <a href="/c">{s}</a></div>', ""), ('<div class="notice"><p>{t}</p></div>', ""),
     ("<form><label>{s}</label><input name=q><button>{s}</button></form>", ""), ('<form action="/s"><p>{t}</p><label>{s}</label></form>', ""),
     ('<div class="comments"><h2>{s}</h2><div class="comment"><p>{t}</p><p>{t}</p></div><div class="comment"><p>{t}</p></div></div>', ""), ('<section id="comments"><h3>{s}</h3><ol><li><p>{t}</p></li><li><p>{t}</p></li></ol></section>', ""), ('<ul class="commentlist"><li>{t}</li><li>{t}</li></ul>', ""),
+    ("<p hidden>{t}</p>", ""), ('<div aria-hidden="true">{t}</div>', ""), ('<div style="color:red; display:none"><p>{t}</p></div>', ""), ("<div>Copyright 2020 {s}</div>", ""), ("<div>{links}</div>", "links"),
     ('<div class="share"><a href="#">{s}</a> <a href="#">{s}</a></div>', ""), ('<ul class="breadcrumb"><li><a href="/">{s}</a></li><li>{s}</li></ul>', ""),
 )
-_MAINS = ("<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', '<div id="main">{}</div>', "<main><article>{}</article></main>", '<div class="post"><div class="entry">{}</div></div>', '<section class="story">{}</section>', "<div>{}</div>", '<div class="article-body">{}</div>')
-_PARTS = ("<p>{t}</p>", "<p>{t}</p>", "<p>{t}</p>", "<p><b>{s}</b> {t}</p>", "<p><b>{t}<br>", "<p>{t}", "<h2>{s}</h2>", "<ul><li>{t}</li><li>{s}</li></ul>", "<ol><li>{s}</li><li>{t}</li></ol>", "<blockquote><p>{t}</p></blockquote>", '<p>{t} <a href="/r">{s}</a> {t}</p>', "<pre>{t}</pre>", "<table><tr><td>{s}</td><td>{t}</td></tr></table>", "<div>{t}</div>", "<figure><img><figcaption>{s}</figcaption></figure>", "<p>{s}</p>", "<p><em>{t}</em></p>", "<h3>{s}</h3>", "<dl><dt>{s}</dt><dd>{t}</dd></dl>")
+_MAINS = ("<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', '<div id="main">{}</div>', "<main><article>{}</article></main>", '<div class="post"><div class="entry">{}</div></div>', '<section class="story">{}</section>', "<div>{}</div>", '<div class="article-body">{}</div>', '<div class="">{}</div>', "<div><div>{}</div></div>", '<div class=""><div class=""><span class="">{}</span></div></div>')
+_PARTS = ("<p>{t}</p>", "<p>{t}</p>", "<p>{t}</p>", "<p><b>{s}</b> {t}</p>", "<p><b>{t}<br>", "<p>{t}", "<h2>{s}</h2>", "<ul><li>{t}</li><li>{s}</li></ul>", "<ol><li>{s}</li><li>{t}</li></ol>", "<blockquote><p>{t}</p></blockquote>", '<p>{t} <a href="/r">{s}</a> {t}</p>', "<pre>{t}</pre>", "<table><tr><td>{s}</td><td>{t}</td></tr></table>", "<div>{t}</div>", "<figure><img><figcaption>{s}</figcaption></figure>", "<p>{s}</p>", "<p><em>{t}</em></p>", "<h3>{s}</h3>", "<dl><dt>{s}</dt><dd>{t}</dd></dl>", "<p>All rights reserved. {s}</p>", "<div><span>{t}</span></div>", '<div class=""><span class="">{t}</span></div>', '<p style="margin:0">{t}</p>', '<p aria-hidden="false">{t}</p>')
 _MARK = ""
 
 
@@ -307,9 +324,13 @@ def labelled_pages(n: int = 400, seed: int = 4) -> list[tuple[list[list[str]], l
     def long() -> str:
         return " ".join(" ".join(word() for _ in range(rnd.randrange(1, 18))).capitalize() + rnd.choice(".....,?!") for _ in range(rnd.randrange(1, 7)))
 
-    def aside() -> str:
-        shape = rnd.choice(_ASIDES)[0]
-        links = "".join(rnd.choice(('<li><a href="/{0}">{0}</a></li>', '<a href="/{0}">{0}</a> ')).format(word()) for _ in range(rnd.randrange(2, 9)))
+    def menu() -> str:
+        return "".join(rnd.choice(('<li><a href="/{0}">{0}</a></li>', '<a href="/{0}">{0}</a> ')).format(word()) for _ in range(rnd.randrange(2, 9)))
+
+    def aside(inside: bool = False) -> str:
+        # a header inside an article is its own
+        shape = rnd.choice([s for s, _ in _ASIDES if not (inside and s.startswith("<header"))])
+        links = menu()
         shape = re.sub("{t}", lambda _: long() if rnd.random() < 0.8 else short(), shape)
         return re.sub("{s}", lambda _: short(), shape).replace("{links}", links).replace("{c}", rnd.choice(("top", "menu", "nav")))
 
@@ -317,18 +338,24 @@ def labelled_pages(n: int = 400, seed: int = 4) -> list[tuple[list[list[str]], l
         # marks stand on both sides of the text so that a block of it is known wherever it is cut
         mark = lambda text: _MARK + text + _MARK
         parts = [f"<h1>{mark(short())}</h1>"] if rnd.random() < 0.8 else []
+        own = bool(parts) and rnd.random() < 0.15
+        if own:
+            parts[0] = f"<header>{parts[0]}</header>"
         for _ in range(rnd.randrange(1, 9)):
             shape = rnd.choice(_PARTS)
             shape = re.sub("{t}", lambda _: mark(long()), shape)
             parts.append(re.sub("{s}", lambda _: mark(short()), shape))
             if rnd.random() < 0.06:
-                parts.append(aside())
-        return rnd.choice(_MAINS).format("".join(parts))
+                parts.append(aside(inside=True))
+        return rnd.choice([m for m in _MAINS if not own or "<article>" in m]).format("".join(parts))
 
     out = []
     for _ in range(n):
         before, after = "".join(aside() for _ in range(rnd.randrange(0, 4))), "".join(aside() for _ in range(rnd.randrange(0, 4)))
-        cut = blocks(f"<html><head><title>{short()}</title><style>p{{}}</style></head><body>{before}{main()}{after}</body></html>"[: None if rnd.random() < 0.8 else -14])
+        middle = main()
+        if rnd.random() < 0.08:
+            middle = f"<table><tr><td>{menu()}</td><td>{middle}</td></tr><tr><td>{rnd.choice(('&copy; ', 'Copyright ', ''))}{short()} <a href='/i'>{word()}</a></td></tr></table>"
+        cut = blocks(f"<html><head><title>{short()}</title><style>p{{}}</style></head><body>{before}{middle}{after}</body></html>"[: None if rnd.random() < 0.8 else -14])
         labels = [int(_MARK in b.text) for b in cut]
         for b in cut:
             b.text = b.text.replace(_MARK, "").strip() or "-"

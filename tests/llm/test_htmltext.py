@@ -104,3 +104,22 @@ def test_letters_that_lower_to_two_do_not_shift_the_end(name):
 
 def test_only_the_whole_name_ends_a_script():
     assert [b.text for b in H.blocks("<script>a</scripty>b</ſcript>c</SCRIPT>d")] == ["d"]
+
+
+SAID = "The committee met on Tuesday to discuss the harbour works, which have taken longer than anyone expected."
+ALSO = "Residents said that they were tired of the noise, and asked for a date by which it ends."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f'<div class="x1a"><a href="/">Home</a> <a href="/n">News</a></div><div class="q9z"><div class="k2"><h1>Harbour works</h1><p>{SAID}</p><p>{ALSO}</p></div></div><div class="z7">Copyright 2020 us</div>', f"Harbour works\n{SAID}\n{ALSO}"),
+        (f'<div class="css-1ab"><div class="css-9x"><span class="css-3">{SAID}</span></div><div class="css-9x"><span class="css-3">{ALSO}</span></div></div>', f"{SAID}\n{ALSO}"),
+        (f"<article><header><h1>Harbour works</h1></header><p>{SAID}</p><p>All rights reserved.</p></article><footer>&copy; us</footer>", f"Harbour works\n{SAID}\nAll rights reserved."),
+        (f'<article><p aria-hidden="false">{SAID}</p><p hidden>{ALSO}</p><div aria-hidden="true">{ALSO}</div><p style="display: none">{ALSO}</p><p style="color:red">{ALSO}</p></article>', f"{SAID}\n{ALSO}"),
+        (f'<table><tr><td><a href="/">Home</a></td><td><h1>Harbour works</h1><p>{SAID}</p><p>{ALSO}</p></td></tr><tr><td>Copyright us 2020</td></tr></table>', f"Harbour works\n{SAID}\n{ALSO}"),
+        (f'<main><h1>Harbour works</h1><p>{SAID}</p></main><section id="responses"><p>Great read!</p></section>', f"Harbour works\n{SAID}"),
+    ],
+)
+def test_layouts_beside_the_usual_ones(page, text):
+    assert H.main_text(f"<html><body>{page}</body></html>", H.default_field()) == text
