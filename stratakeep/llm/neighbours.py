@@ -8,9 +8,12 @@
 
 ``probes`` is set on held-out vectors of the sample so that their true neighbours are found with
 ``target`` probability.  There are ``LEAST_PARTITIONS`` at any size, and one for every
-``ROWS_PER_PARTITION`` rows as far as the sample can teach so many (``VECTORS_PER_PARTITION`` each:
-a larger table wants a larger ``sample``); partitions are worked off in blocks of rows, so no task
-holds a whole one.
+``rows_per_partition`` rows.  Where one sample can't teach so many (``VECTORS_PER_PARTITION`` each),
+every partition of the first router is cut again by a router of its own, learnt from a sample of
+the partition, in executors; a query goes to the leaves whose product of both probabilities is
+largest.  Two levels of the default sample make up to 250 x 250 leaves, which the default size of
+a leaf fills with 128 million different vectors; beyond that leaves grow, or ``sample`` must.
+Partitions are worked off in blocks of rows, so no task holds a whole one.
 
 Equal vectors are one entry that keeps its k + 1 smallest ids, which is exact because ties go to
 the smaller id: a vector that a third of all rows share costs one comparison.
@@ -24,6 +27,7 @@ are returned; without queries the result is empty.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +48,8 @@ VECTORS_PER_PARTITION = 16
 HIDDEN = 64
 TARGET = 0.97
 BLOCK = 4096
+#: Vectors whose probabilities of all leaves are held at a time.
+ROUTED = 128
 
 
 #: What the last search fitted: partitions, partitions asked, different vectors.
@@ -127,6 +133,7 @@ class Router:
         self.w2 = rng.normal(0, np.sqrt(1 / HIDDEN), (HIDDEN, parts))
         self.b2 = np.zeros(parts)
         self.scale = np.sqrt(dim)
+        self.parts = parts
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(x * self.scale @ self.w1 + self.b1, 0) @ self.w2 + self.b2
@@ -157,10 +164,8 @@ class Router:
 
 def fit_router(sample: np.ndarray, parts: int, target: float = TARGET, k: int = 5) -> tuple[Router, int]:
     """The classifier and how many partitions a query needs, from sample vectors of any length."""
-    x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    held = min(HELD_OUT, len(x) // 5)
-    train, test = x[held:], x[:held]
-    router = Router(x.shape[1], parts)
+    train, test = _held_out(sample)
+    router = Router(sample.shape[1], parts)
     if len(train) <= max(DEGREE, 2 * parts):  # too few to learn from: every partition is asked
         return router, parts
     graph = neighbour_graph(train, min(DEGREE, len(train) - 1))
@@ -169,13 +174,101 @@ def fit_router(sample: np.ndarray, parts: int, target: float = TARGET, k: int =
     np.add.at(soft, (np.repeat(np.arange(len(train)), graph.shape[1]), label[graph].ravel()), 0.5 / graph.shape[1])
     soft[np.arange(len(train)), label] += 0.5
     router.fit(train, soft)
-    home = router.scores(train).argmax(axis=1)
-    near = np.argsort(-(test @ train.T), axis=1)[:, :k]
-    order = np.argsort(-router.scores(test), axis=1)
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(parts)[None, :].repeat(len(test), 0), axis=1)
-    needed = np.sort(np.take_along_axis(rank, home[near], axis=1).ravel()) + 1
-    return router, int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))]) if len(needed) else parts
+    return router, probes_needed(Tree(router), train, test, target, k)
+
+
+def _held_out(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors to learn from, and those that are kept back."""
+    x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    held = min(HELD_OUT, len(x) // 5)
+    return x[held:], x[:held]
+
+
+def probes_needed(tree: Tree, train: np.ndarray, test: np.ndarray, target: float, k: int) -> int:
+    """How many leaves to ask so that a neighbour of a held-out vector is among them with ``target`` probability."""
+    near, home, needed = np.argsort(-(test @ train.T), axis=1)[:, :k], tree.home(train), []
+    for a in range(0, len(test), ROUTED):
+        s = tree.scores(test[a : a + ROUTED])
+        theirs = np.take_along_axis(s, home[near[a : a + ROUTED]], axis=1)
+        needed += [1 + (s > theirs[:, j : j + 1]).sum(axis=1) for j in range(theirs.shape[1])]
+    ranks = np.sort(np.concatenate(needed)) if needed else np.array([])
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))))]) if len(ranks) else tree.leaves
+
+
+class Tree:
+    """A router, and below some of its partitions (by number) one more each; leaves are numbered through."""
+
+    def __init__(self, top: Router, below: dict[int, Router] | None = None):
+        self.top, self.below = top, below or {}
+        self.first = np.cumsum([0] + [self.below[p].parts if p in self.below else 1 for p in range(top.parts)])
+        self.leaves = int(self.first[-1])
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The leaf that unit vectors live in."""
+        part = self.top.scores(x).argmax(axis=1)
+        leaf = self.first[part]
+        for p in np.unique(part):
+            if p in self.below:
+                leaf[part == p] += self.below[p].scores(x[part == p]).argmax(axis=1)
+        return leaf
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """The logarithm of every leaf's probability."""
+        s = _log_softmax(self.top.scores(x))
+        if not self.below:
+            return s
+        out = np.repeat(s, np.diff(self.first), axis=1)
+        for p, router in self.below.items():
+            out[:, self.first[p] : self.first[p + 1]] += _log_softmax(router.scores(x))
+        return out
+
+    def best(self, x: np.ndarray, count: int) -> np.ndarray:
+        """The most probable leaves of unit vectors, a few vectors at a time."""
+        few = [np.argsort(-self.scores(x[a : a + ROUTED]), axis=1, kind="stable")[:, :count] for a in range(0, len(x), ROUTED)]
+        return np.concatenate(few)
+
+
+def _log_softmax(s: np.ndarray) -> np.ndarray:
+    s = s - s.max(axis=1, keepdims=True)
+    return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
+
+
+def fit_tree(entries: DataFrame, total: int, sample: int, target: float, k: int, rows_per_partition: int) -> tuple[Tree, int]:
+    """Routers for ``total`` entries (key, v), and how many leaves a query needs."""
+    if not total:
+        return Tree(Router(1, 1)), 1
+    drawn = np.array([r.v for r in entries.orderBy(F.xxhash64("key"), "key").limit(sample).collect()])
+    wanted, taught = max(LEAST_PARTITIONS, round(total / rows_per_partition)), max(LEAST_PARTITIONS, len(drawn) // VECTORS_PER_PARTITION)
+    if wanted <= taught:
+        top, probes = fit_router(drawn, wanted, target, k)
+        return Tree(top), probes
+    top, _ = fit_router(drawn, min(taught, int(np.ceil(np.sqrt(wanted)))), target, k)
+    shared = entries.sparkSession.sparkContext.broadcast(top)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(1))
+            if len(x):
+                part = shared.value.scores(x / np.linalg.norm(x, axis=1, keepdims=True)).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], names=["key", "v", "part"])
+
+    placed = materialise(entries.select("key", "v").mapInArrow(released(place), "key string, v array<double>, part int"), "first-level")
+    sizes = placed.groupBy("part").agg(F.count("*").alias("size"))
+    # twice the share that gives a sample, by a hash of the key, then its first ones
+    turn = F.pmod(F.xxhash64("key", F.lit(2)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    some = placed.join(F.broadcast(sizes), "part").withColumn("turn", turn).where(F.col("turn") * F.col("size") < F.lit(2 * sample))
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["turn", "key"]).head(sample)
+        parts = min(round(rows["size"].iat[0] / rows_per_partition), len(rows) // VECTORS_PER_PARTITION)
+        fitted = [pickle.dumps(fit_router(np.stack(rows["v"].to_list()), parts, target, k)[0])] if parts > 1 else []
+        return pd.DataFrame({"part": [rows["part"].iat[0]] * len(fitted), "router": fitted})
+
+    # as many rows as the first router has partitions, each of the size of a router
+    below = {r.part: pickle.loads(r.router) for r in some.groupBy("part").applyInPandas(learn, "part int, router binary").collect()}
+    tree = Tree(top, below)
+    train, test = _held_out(drawn)
+    return tree, probes_needed(tree, train, test, target, k)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -222,7 +315,7 @@ def keyed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(released(run), "id long, key string")
 
 
-def search(df: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE, target: float = TARGET) -> DataFrame:
+def search(df: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE, target: float = TARGET, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
     """The k nearest found of every row for which ``is_query`` (a column over ``id``) holds.
 
     Rows: query_id, rank (from 1), vec_id, score (cosine in double precision), nearest first, ties
@@ -233,30 +326,30 @@ def search(df: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embeddin
     rows = usable(df, vec_id, embedding)
     entries = materialise(distinct_vectors(rows, k + 1), "vectors")
     total = entries.count()
-    drawn = np.array([r.v for r in entries.orderBy(F.xxhash64("key"), "key").limit(sample).collect()])
-    parts = int(max(LEAST_PARTITIONS, min(len(drawn) // VECTORS_PER_PARTITION, round(total / ROWS_PER_PARTITION))))
-    router, probes = fit_router(drawn, parts, target, k) if total else (Router(1, 1), 1)
-    _FITTED.update(parts=parts, probes=probes, vectors=total)
-    shared = spark.sparkContext.broadcast(router)
+    tree, probes = fit_tree(entries, total, sample, target, k, rows_per_partition)
+    _FITTED.update(parts=tree.leaves, probes=probes, vectors=total)
+    shared = spark.sparkContext.broadcast(tree)
 
     queries = keyed(rows.where(is_query))
     asked = entries.join(queries.select("key").distinct(), "key", "left_semi")
 
     def route(count: int):
+        """Batches with the ``count`` most probable leaves of every vector, or with its home for 0."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = _matrix(batch.column(1))
                 if not len(x):
                     continue
-                s = shared.value.scores(x / np.linalg.norm(x, axis=1, keepdims=True))
-                best = np.argsort(-s, axis=1, kind="stable")[:, :count].astype(np.int32)
+                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+                best = (shared.value.best(unit, count) if count else shared.value.home(unit)[:, None]).astype(np.int32)
                 offsets = pa.array(np.arange(0, best.size + 1, best.shape[1], dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(batch.columns + [pa.ListArray.from_arrays(offsets, pa.array(best.ravel()))], names=["key", "v", "ids", "parts"])
 
         return run
 
     schema = "key string, v array<double>, ids array<long>, parts array<int>"
-    placed = materialise(entries.select("key", "v", "ids").mapInArrow(released(route(1)), schema).select("key", "v", "ids", F.col("parts")[0].alias("part")), "placed")
+    placed = materialise(entries.select("key", "v", "ids").mapInArrow(released(route(0)), schema).select("key", "v", "ids", F.col("parts")[0].alias("part")), "placed")
     sizes = placed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     grouped = placed.join(F.broadcast(sizes), "part").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     routed = materialise(asked.select("key", "v", "ids").mapInArrow(released(route(probes)), schema).select("key", "v", F.explode("parts").alias("part")), "routed")

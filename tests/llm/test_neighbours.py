@@ -48,3 +48,27 @@ def test_edges(spark):
 def test_probes_are_set_for_97_of_100_neighbours():
     x = np.random.default_rng(2).normal(size=(2000, 16))
     assert N.fit_router(x, 20)[1] == N.fit_router(x, 20, 0.97)[1] > N.fit_router(x, 20, 0.9)[1]
+
+
+def test_routers_below_a_router(spark):
+    """More partitions than one sample can teach: recall holds, and few of the leaves are asked."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 24))
+    x = centres[rng.integers(60, size=8000)] + 0.6 * rng.normal(size=(8000, 24))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in N.search(rows, F.col("id") % 50 == 0, k=5, sample=800, rows_per_partition=80).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(np.arange(8000), x.astype(np.float32).astype(float), np.arange(8000) % 50 == 0, 5)
+    hits = sum(len(got[q] & set(want[q])) for q in want)
+    assert N._FITTED["parts"] > 800 // N.VECTORS_PER_PARTITION and N._FITTED["probes"] < N._FITTED["parts"] / 2
+    assert set(got) == set(want) and hits >= 0.9 * 5 * len(want)
+
+
+def test_leaves_are_numbered_through_and_their_probabilities_add_up():
+    x = np.random.default_rng(3).normal(size=(50, 6))
+    tree = N.Tree(N.Router(6, 3), {0: N.Router(6, 4, 1), 2: N.Router(6, 2, 2)})
+    assert tree.leaves == 7 and list(tree.first) == [0, 4, 5, 7]
+    s = tree.scores(x)
+    assert np.allclose(np.exp(s).sum(axis=1), 1) and (np.sort(tree.best(x, 7), axis=1) == np.arange(7)).all()
+    assert (tree.home(x) < 7).all() and (tree.best(x, 1)[:, 0] == s.argmax(axis=1)).all()
